@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, toxicity
+from . import decontaminate, simhash, toxicity
 
-_MODULES = (simhash, toxicity)
+_MODULES = (simhash, toxicity, decontaminate)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
