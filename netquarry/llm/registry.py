@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, simhash, toxicity
+from . import decontaminate, pii, simhash, toxicity
 
-_MODULES = (simhash, toxicity, decontaminate)
+_MODULES = (simhash, toxicity, decontaminate, pii)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
