@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, simhash, toxicity
+from . import bpe, decontaminate, pii, simhash, toxicity
 
-_MODULES = (simhash, toxicity, decontaminate, pii)
+_MODULES = (simhash, toxicity, decontaminate, pii, bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
