@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontaminate, pii, simhash, toxicity
 
-_MODULES = (simhash, toxicity, decontaminate, pii, bpe)
+_MODULES = (simhash, bpe, toxicity, pii, decontaminate)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in _MODULES for k, s in m.ORACLE.items()}
+    out = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
