@@ -7,9 +7,9 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, simhash, toxicity
+from . import bpe, chat, decontaminate, pii, simhash, toxicity
 
-_MODULES = (simhash, bpe, toxicity, pii, decontaminate)
+_MODULES = (simhash, bpe, toxicity, pii, decontaminate, chat)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
