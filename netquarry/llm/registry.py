@@ -7,9 +7,9 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, pii, simhash, token_files, toxicity
+from . import bpe, chat, decontaminate, pii, simhash, token_files, topk, toxicity
 
-_MODULES = (simhash, bpe, toxicity, pii, decontaminate, token_files, chat)
+_MODULES = (simhash, bpe, toxicity, pii, topk, decontaminate, token_files, chat)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
