@@ -7,9 +7,9 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, pii, simhash, token_files, topk, toxicity, warc
+from . import bpe, chat, decontaminate, extract, pii, simhash, token_files, topk, toxicity, warc
 
-_MODULES = (simhash, bpe, toxicity, pii, topk, decontaminate, token_files, chat, warc)
+_MODULES = (extract, simhash, bpe, toxicity, pii, topk, decontaminate, token_files, chat, warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
