@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import evaluating, flows, prepare, profiling
+from .common import counts_as_bigint
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES: tuple = ()
+_MODULES = (prepare, profiling, evaluating, flows)
 
 
 def queries() -> dict[str, Query]:
@@ -16,8 +19,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in _MODULES for k, s in m.ORACLE.items()}
+    return {k: counts_as_bigint(s) for m in _MODULES for k, s in m.ORACLE.items()}
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+FLAGSHIP: Query = prepare.conflict_summary
