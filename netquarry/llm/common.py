@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -38,3 +40,11 @@ def removed(spark: SparkSession, path: str) -> None:
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(conf).delete(p, True)
+
+
+def shielded(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but own under names that clash with nothing, and a function that gives a result its
+    columns back, in their order."""
+    names = {c: c if c in own else f"_column_{i}_" for i, c in enumerate(docs.columns)}
+    shown = docs.toDF(*names.values())
+    return shown, lambda out: out.select(*[F.col(n).alias(c) for c, n in names.items()])

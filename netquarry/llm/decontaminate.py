@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 WORD = re.compile(r"[^\W_]+")
 #: Words of a shingle, and the share of an item's shingles that makes a document contaminated.
@@ -159,6 +159,12 @@ def build(items: list[tuple[int, str]], documents: dict[str, int] | None = None,
     )
 
 
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = [w for text in batch.column(0).to_pylist() for w in set(words(text))]
+        yield pa.RecordBatch.from_arrays([pa.array(got, pa.string())], ["word"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> doc_id, item_id, n_shingles, n_shared, question, answer.
 
@@ -170,11 +176,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITE
     known = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct()
     size = known.count()
     out = None
+    # in how many items each word occurs, over the whole benchmark
+    frequency = written(known.select("text").mapInArrow(_distinct_words, "word string").groupBy("word").agg(F.count("*").alias("n")), "words")
     pieces = max(1, -(-size // items_at_once))
     for piece in range(pieces):
         part = known if pieces == 1 else known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(pieces)) == piece)
         rows = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=str)  # about items_at_once rows
-        index = spark.sparkContext.broadcast(build(rows))
+        own = part.select("text").mapInArrow(_distinct_words, "word string").distinct()
+        counts = frequency.join(own, "word", "left_semi").toPandas()  # the words of those items
+        index = spark.sparkContext.broadcast(build(rows, dict(zip(counts["word"], counts["n"].tolist(), strict=True)), size))
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -11,7 +11,6 @@ every identifier-shaped string behind a confident pattern that no base span touc
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import table, written
+from .common import shielded, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Turns of the scoring; confidence and distinct instances from which a pattern counts.
@@ -227,7 +226,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each span becomes its kind in capitals and square brackets; spans that touch become one, of the
     first one's kind. n_chars follows the text."""
-    found = find(docs)
+    inner, restored = shielded(docs, "text", "n_chars")
+    found = find(inner)
     merged = F.expr(
         "aggregate(pii_spans, cast(array() AS array<struct<start:long,end:long,kind:string>>), (acc, x) -> "
         "IF(size(acc) > 0 AND x.start < acc[size(acc) - 1].end, concat(slice(acc, 1, size(acc) - 1), array(named_struct("
@@ -242,7 +242,7 @@ def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = found.withColumn("pii_spans", merged).withColumn("text", F.when(F.size("pii_spans") > 0, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return restored(out)
 
 
 QUERIES = {"op5_pii": op5_pii}

@@ -323,8 +323,17 @@ def test_questions_and_answers():
 
 
 def test_extra_columns_pass(spark):
-    odd = frame(spark).withColumn("fp", F.lit(1)).withColumn("node", F.lit(2)).withColumn("toxic", F.lit(3)).withColumn("item_id", F.lit(4)).withColumn("best", F.lit(5))
+    odd = frame(spark).withColumn("fp", F.lit(1)).withColumn("node", F.lit(2)).withColumn("toxic", F.lit(3)).withColumn("item_id", F.lit(4)).withColumn("best", F.lit(5)).withColumn("toxic_score", F.lit(6)).withColumn("pii_row", F.lit(7))
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.score(odd.drop("toxic_score"), toxicity.fit(odd, none)).count() == len(ODD)
     assert simhash.near_duplicates(odd).count() == len(ODD)
     assert simhash.keep_one(spark, odd, "").columns == odd.columns
     assert pii.mask(spark, odd, "").columns == odd.columns
     assert bpe.encoded(odd).count() == len(ODD)
+
+
+def test_first_stage_with_clashing_columns(spark, tmp_path):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    odd = frame(spark).withColumn("toxic_score", F.lit(6))
+    kept = toxicity.drop_toxic(spark, odd, tables(spark, tmp_path, labels=none))
+    assert kept.columns == odd.columns and kept.count() == len(ODD)
