@@ -84,3 +84,66 @@ def shared_members(rows: DataFrame, split: str, members: str) -> DataFrame:
 def first_of(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def bound_connections(flows: DataFrame, connections: DataFrame, keys: Sequence[str], known: Sequence[str] = ("Benign", "Malicious")) -> DataFrame:
+    """Flows against a connection log whose entries may lack an end or counts: every flow with status, reason, reference, label.
+
+    flows: keys, flow_id, first_ns, last_ns, counts (packets and bytes of the first side, then of the other). connections: keys, uid,
+    start_ns, end_ns or null, counts or null, missed_bytes, label. In this order of precedence: no connection contains the flow: by those that
+    start with it, several AMBIGUOUS, one without an end EXCLUDED, one CANDIDATE_MATCH, none UNMATCHED; several contain it: AMBIGUOUS; one does: a
+    label that isn't known, missed bytes or no counts EXCLUDED; other counts or another start CANDIDATE_MATCH; else VERIFIED_MATCH. A
+    connection that verifies several flows makes candidates of them.
+    """
+    c = connections.select(*[F.col(k).alias(f"_{k}") for k in keys], "uid", "start_ns", "end_ns", F.col("counts").alias("_counts"), "missed_bytes", F.col("label").alias("_label"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & (flows[k] == c[f"_{k}"])
+    inside = F.coalesce((F.col("start_ns") <= F.col("first_ns")) & (F.col("last_ns") <= F.col("end_ns")), F.lit(False))
+    anchor = F.col("start_ns") == F.col("first_ns")
+    pairs = flows.join(c, same & (inside | anchor)).withColumn("_inside", inside)
+    one = F.struct("uid", "start_ns", "end_ns", "_counts", "missed_bytes", "_label")
+    per = pairs.groupBy(F.col("flow_id").alias("_f")).agg(
+        F.count_if("_inside").alias("_n"), F.count_if(~F.col("_inside")).alias("_anchors"),
+        F.min(F.when(F.col("_inside"), one)).alias("_in"), F.min(F.when(~F.col("_inside"), one)).alias("_at"),
+    )
+    rows = flows.join(per, flows["flow_id"] == per["_f"], "left")
+    n, anchors = F.coalesce("_n", F.lit(0)), F.coalesce("_anchors", F.lit(0))
+    hit = F.col("_in")
+    reason = (
+        F.when((n == 0) & (anchors > 1), "SEVERAL_ANCHORS").when((n == 0) & (anchors == 1) & F.col("_at.end_ns").isNull(), "NO_END")
+        .when((n == 0) & (anchors == 1), "ANCHOR_ONLY").when(n == 0, "NO_CONNECTION").when(n > 1, "SEVERAL_CONNECTIONS")
+        .when(~F.coalesce(hit["_label"].isin(*known), F.lit(False)), "LABEL").when(~hit["missed_bytes"].eqNullSafe(F.lit(0)), "MISSED_BYTES")
+        .when(hit["_counts"].isNull(), "NO_COUNTS").when((hit["_counts"] != F.col("counts")) | (hit["start_ns"] != F.col("first_ns")), "NOT_THE_SAME")
+        .otherwise("SAME")
+    )
+    r = F.col("reason")
+    status = (
+        F.when(r.isin("SEVERAL_ANCHORS", "SEVERAL_CONNECTIONS"), "AMBIGUOUS").when(r.isin("NO_END", "LABEL", "MISSED_BYTES", "NO_COUNTS"), "EXCLUDED")
+        .when(r.isin("ANCHOR_ONLY", "NOT_THE_SAME"), "CANDIDATE_MATCH").when(r == "NO_CONNECTION", "UNMATCHED").otherwise("VERIFIED_MATCH")
+    )
+    out = rows.withColumn("reason", reason).withColumn("status", status).withColumns(
+        {"reference": F.coalesce(hit["uid"], F.col("_at.uid")), "label": F.coalesce(hit["_label"], F.col("_at._label"))}
+    )
+    return demoted(out.drop("_f", "_n", "_anchors", "_in", "_at"))
+
+
+def partitioned(packets: DataFrame, connections: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Packets (keys, event_id, timestamp_ns) with the one connection (keys, uid, start_ns, end_ns) whose interval holds their instant;
+    uid is null and matches says how many there were if it isn't just one."""
+    c = connections.select(*[F.col(k).alias(f"_{k}") for k in keys], "uid", "start_ns", "end_ns")
+    same = F.col("timestamp_ns").between(F.col("start_ns"), F.col("end_ns"))
+    for k in keys:
+        same = same & (packets[k] == c[f"_{k}"])
+    per = packets.join(c, same).groupBy(F.col("event_id").alias("_e")).agg(F.count("*").alias("_n"), F.min("uid").alias("_uid"))
+    out = packets.join(per, packets["event_id"] == per["_e"], "left")
+    return out.withColumns({"matches": F.coalesce("_n", F.lit(0)), "uid": F.when(F.col("_n") == 1, F.col("_uid"))}).drop("_e", "_n", "_uid")
+
+
+def named_labels(names: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of names (fqdn, ...) with the labels (fqdn, reference, label) of the same canonical name."""
+    from ..functions.domains import canonical
+
+    a = names.withColumn("_name", canonical(F.col("fqdn")))
+    b = labels.select(canonical(F.col("fqdn")).alias("_name"), "reference", "label")
+    return a.join(b, "_name").drop("_name")
