@@ -55,3 +55,13 @@ def admitted(checks: DataFrame, required: Sequence[str]) -> DataFrame:
     """One row: passed if every required check is there and passed."""
     good = F.count_distinct(F.when(F.col("passed") & F.col("check").isin(*required), F.col("check"))) == len(set(required))
     return checks.agg((good & (F.count_if(~F.col("passed")) == 0)).alias("passed"))
+
+
+def declared(samples: DataFrame, identity: str, raw: str, split: str, label: str) -> DataFrame:
+    """Identities and raw digests known and unique, both classes in every split."""
+    one = verdicts(samples, {
+        "identities_unique": (F.count(identity) == F.count("*")) & (F.countDistinct(identity) == F.count("*")),
+        "raw_unique": (F.count(raw) == F.count("*")) & (F.countDistinct(raw) == F.count("*")),
+    })
+    per = samples.groupBy(split).agg(F.countDistinct(F.when(F.col(label).isin(0, 1), F.col(label))).alias("n"))
+    return one.unionByName(verdicts(per, {"both_classes": F.min("n") == 2}))

@@ -50,7 +50,11 @@ def zeek(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def label_kind(label: Column, botnet: str = "flow=From-Botnet-V48-", normal: str = "flow=From-Normal-V48-") -> Column:
+# How labels of known origin begin.
+BOTNET, NORMAL = "flow=From-Botnet-V48-", "flow=From-Normal-V48-"
+
+
+def label_kind(label: Column, botnet: str = BOTNET, normal: str = NORMAL) -> Column:
     return F.when(label.startswith(botnet), "BOTNET").when(label.startswith(normal), "NORMAL").otherwise("UNKNOWN")
 
 

@@ -163,3 +163,5 @@ def test_gates(spark):
     assert gates.admitted(checks, ["a", "b"]).first()[0]
     assert not gates.admitted(checks, ["a", "b", "c"]).first()[0]
     assert not gates.admitted(checks.unionAll(spark.createDataFrame([("c", False)], checks.schema)), ["a", "b"]).first()[0]
+    samples = spark.createDataFrame([("a", "1", "x", 0), ("b", "2", "x", 1), ("c", "2", "y", 1)], "i string, r string, s string, l int")
+    assert dict(rows(gates.declared(samples, "i", "r", "s", "l"))) == {"identities_unique": True, "raw_unique": False, "both_classes": False}
