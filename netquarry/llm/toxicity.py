@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import removed, shared_path, table
+from .common import removed, shared_path, shielded, table
 
 WORD = re.compile(r"[^\W_]+")
 FOLDS = 5
@@ -31,6 +31,8 @@ FIT_ROWS = 20_000
 CUTOFF = 5
 #: Bounds of the vocabulary and of the pair table, the most frequent first; with them the size of what is broadcast.
 VOCABULARY, PAIRS = 200_000, 200_000
+#: Pairs that a task holds before it passes them on.
+HELD = 100_000
 #: Stands for all words outside the vocabulary, and for the start of a text.
 UNKNOWN, START = 0, ""
 
@@ -78,17 +80,22 @@ class Model:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = (Counter(), Counter())
+
+    def counted() -> pa.RecordBatch:
+        keys = list(counts[0].keys() | counts[1].keys())
+        columns = [pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)] + [pa.array([c[k] for k in keys], pa.int64()) for c in counts]
+        for c in counts:
+            c.clear()
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "n0", "n1"])
+
     for batch in batches:
-        counts = (Counter(), Counter())
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            got = words(text)
+        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            got = words(text.as_py())
             counts[toxic].update(zip([START, *got], got, strict=False))
-        keys = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string())]
-            + [pa.array([c[k] for k in keys], pa.int64()) for c in counts],
-            ["a", "b", "n0", "n1"],
-        )
+            if len(counts[0]) + len(counts[1]) >= HELD:
+                yield counted()
+    yield counted()
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
@@ -158,8 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Fits on at most fit_rows labelled documents outside fold 0: counts on folds 2 to 4, the curve on fold 1.
 
     A doc_id labelled twice counts as toxic if any label says so; null labels and ids are ignored. Without
-    labelled documents of both classes in the counts' folds or the curve's, every score is the share of toxic ones
-    (one half if there are none at all).
+    labelled documents of both classes in the counts' folds or the curve's, every score is the share of toxic ones,
+    held within a thousandth of 0 and 1 (a thousandth if there are none at all).
     """
     spark = docs.sparkSession
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id")) != 0)
@@ -180,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     pairs = counts.where(f"n0 + n1 >= {CUTOFF}").orderBy(F.desc(F.expr("n0 + n1")), "a", "b").limit(PAIRS).toPandas()
     removed(spark, path)
     model = _language_models(vocabulary, contexts, pairs, totals)
-    share = float(np.clip(sample["toxic"].mean(), 1e-3, 1 - 1e-3)) if len(sample) else 0.5
+    share = float(np.clip(sample["toxic"].mean() if len(sample) else 0.0, 1e-3, 1 - 1e-3))
     model.weights[0] = np.log(share / (1 - share))
     if min(totals["n0"], totals["n1"]):
         shared = spark.sparkContext.broadcast(model)
@@ -228,7 +235,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a score of 0.5 or more go."""
     model = fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return score(docs, model).where("toxic_score < 0.5").drop("toxic_score")
+    inner, restored = shielded(docs, "doc_id", "text")
+    return restored(score(inner, model).where("toxic_score < 0.5"))
 
 
 QUERIES = {"op4_toxicity": op4_toxicity}
