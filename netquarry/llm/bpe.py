@@ -30,7 +30,7 @@ from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Pieces and pairs of tokens remembered by a worker; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Bits of a token's number.
 SHIFT = 20
 #: Longer pieces are encoded each time.
