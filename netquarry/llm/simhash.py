@@ -26,8 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import table, written
+from .common import shielded, table, written
 from .components import components
 
 SEED = 42
@@ -167,15 +168,27 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component, the document whose doc_id names it (the smallest) stays.
+    """Pipeline stage: of each component's rows one stays, whatever their doc_ids: the smallest doc_id's (a null one
+    only where no row has any), of several the first by its text, then by the other columns.
 
-    Where several rows have that doc_id, one of them stays: the first by its text, then by the other columns.
+    Rows with a null or repeated doc_id stay where their texts are no near duplicates.
     """
-    members = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    rest = docs.join(members, "doc_id", "left_anti")
-    order = [c for c in ("text", *docs.columns) if c != "doc_id"]
-    first = rest.groupBy("doc_id").agg(F.min(F.struct(*dict.fromkeys(order))).alias("r"))
-    return first.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}") for c in docs.columns])
+    inner, restored = shielded(docs, "doc_id", "text")
+    schema = StructType([*inner.schema.fields, StructField("fp", LongType())])
+    at = inner.columns.index("text")
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], np.uint64)
+            yield batch.append_column("fp", pa.array(fps.view(np.int64)))
+
+    order = [F.col("doc_id").isNull().alias("none"), *dict.fromkeys(["doc_id", "text", *inner.columns])]
+    first = F.min(F.struct(*order)).alias("r")
+    distinct = written(inner.mapInArrow(marked, schema).groupBy("fp").agg(first), "distinct")
+    root = written(components(links(distinct.select("fp"))), "roots")
+    alone = distinct.join(root, distinct["fp"] == root["node"], "left_anti").select("r")
+    linked = distinct.join(root, distinct["fp"] == root["node"]).groupBy("root").agg(F.min("r").alias("r")).select("r")
+    return restored(alone.union(linked).select("r.*").drop("none"))
 
 
 QUERIES = {"op2_simhash": op2_simhash}

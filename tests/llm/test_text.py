@@ -109,6 +109,12 @@ def test_near_duplicates_of_odd_rows(spark):
     assert ids.count(1) == 1 and 2 not in ids and 6 not in ids and 4 in ids
 
 
+def test_keep_one_decides_by_row(spark):
+    rows = [(None, text(40, 21)), (None, text(40, 22)), (7, text(40, 23)), (7, text(40, 24)), (3, text(40, 24)), (None, text(40, 24)), (8, text(40, 25)), (8, text(40, 25))]
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(spark, frame(spark, rows), "").collect()), key=str)
+    assert kept == sorted([(None, text(40, 21)), (None, text(40, 22)), (7, text(40, 23)), (3, text(40, 24)), (8, text(40, 25))], key=str)
+
+
 # Byte-pair encoding
 
 
