@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from . import jaccard
 from .common import shielded, table, written
 from .components import components
 
@@ -168,26 +169,27 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component's rows one stays, whatever their doc_ids: the smallest doc_id's (a null one
-    only where no row has any), of several the first by its text, then by the other columns.
+    """Pipeline stage: of the rows that links of five-word Jaccard similarity 0.8 or more join one stays, whatever their
+    doc_ids: the smallest doc_id's (a null one only where no row has any), of several the first by its text, then by
+    the other columns.
 
-    Rows with a null or repeated doc_id stay where their texts are no near duplicates.
+    Rows with a null or repeated doc_id stay where their texts are no near duplicates. Texts without words are alike.
     """
     inner, restored = shielded(docs, "doc_id", "text")
-    schema = StructType([*inner.schema.fields, StructField("fp", LongType())])
+    schema = StructType([*inner.schema.fields, StructField("node", LongType())])
     at = inner.columns.index("text")
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], np.uint64)
-            yield batch.append_column("fp", pa.array(fps.view(np.int64)))
+            names = np.array([jaccard.name(t) for t in batch.column(at).to_pylist()], np.uint64)
+            yield batch.append_column("node", pa.array(names.view(np.int64)))
 
     order = [F.col("doc_id").isNull().alias("none"), *dict.fromkeys(["doc_id", "text", *inner.columns])]
     first = F.min(F.struct(*order)).alias("r")
-    distinct = written(inner.mapInArrow(marked, schema).groupBy("fp").agg(first), "distinct")
-    root = written(components(links(distinct.select("fp"))), "roots")
-    alone = distinct.join(root, distinct["fp"] == root["node"], "left_anti").select("r")
-    linked = distinct.join(root, distinct["fp"] == root["node"]).groupBy("root").agg(F.min("r").alias("r")).select("r")
+    distinct = written(inner.mapInArrow(marked, schema).groupBy("node").agg(first), "distinct")
+    root = jaccard.groups(distinct.select("node", "r.text"))
+    alone = distinct.join(root, "node", "left_anti").select("r")
+    linked = distinct.join(root, "node").groupBy("root").agg(F.min("r").alias("r")).select("r")
     return restored(alone.union(linked).select("r.*").drop("none"))
 
 

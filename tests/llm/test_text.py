@@ -115,6 +115,30 @@ def test_keep_one_decides_by_row(spark):
     assert kept == sorted([(None, text(40, 21)), (None, text(40, 22)), (7, text(40, 23)), (3, text(40, 24)), (8, text(40, 25))], key=str)
 
 
+def test_near_copies_go(spark):
+    """Against brute force: variants of some texts, a crowd around one, texts that share a line."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    line = " ".join(rng.choice(words) for _ in range(20))
+    docs = []
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.randint(3, 150))]
+        for _ in range(rng.choice((1, 3, 5, 40))):
+            own = list(base)
+            for _ in range(rng.randint(0, 1 + len(own) // 40)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            docs.append((len(docs), " ".join(own) + (" " + line if rng.random() < 0.3 else "")))
+    rng.shuffle(docs)
+    sets = [(i, {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))}) for i, t in docs]
+    edges = [(i, j) for k, (i, x) in enumerate(sets) for j, y in sets[k + 1 :] if 5 * len(x & y) >= 4 * len(x | y)]
+    roots = union_find([i for i, _ in docs], edges)
+    least = {}
+    for i, r in roots.items():
+        least[r] = min(i, least.get(r, i))
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(spark, frame(spark, docs), "").collect())
+    assert kept == sorted(least.values()) and len(kept) < len(docs) // 2
+
+
 # Byte-pair encoding
 
 
