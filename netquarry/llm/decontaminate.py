@@ -1,16 +1,19 @@
-"""Benchmark decontamination: a BM25 inverted index of test items, searched by block-max WAND.
-
-The roles are turned round: test items are indexed and every passage of every training document
-is a query. An item of more than STRIDE words is indexed in units of that many words; passages
-are windows of PASSAGE words that begin every STRIDE words, so each run of words as long as a
-unit lies whole in a passage. Scores are BM25 divided by the unit's score for its own text, so
-one threshold serves units of all lengths.
-
-Units are sorted by length and cut into blocks. For each term the index keeps the largest impact
-in each block; a block whose maxima, summed over a passage's distinct terms, miss the threshold is
-skipped, and only the postings of the remaining blocks are added up exactly: all units at or above
-the threshold are found. Their items are then verified against the whole document: at least
-OVERLAP of the item's distinct word shingles, its question and its answer together, must occur.
+"""Benchmark decontamination: a BM25 inverted index of test items, searched by block maxima.
+
+The roles are turned round: test items are indexed and every training document is a query, with the
+distinct terms of all its passages together, since an item's parts may stand far apart. Scores are
+BM25 divided by the item's score for its own text.
+
+An item is retrieved from the least score on that a document with OVERLAP of its shingles can have:
+a word that a document lacks takes all shingles with it, a shingle has SHINGLE words at most, so the
+words that can be lacking have SHINGLE times the shingles that may be missing between them; the
+heaviest such words (in part, at the end) give the bound.
+
+Items are sorted by length and cut into blocks. For each term the index keeps the largest impact
+in each block; a block whose maxima, summed over a document's distinct terms, miss its items' least bound is
+skipped, and only the postings of the remaining blocks are added up exactly: all items at or above
+their bounds are found. They are then verified: at least OVERLAP of the item's distinct word
+shingles, its question and its answer together, must occur.
 """
 
 from __future__ import annotations
@@ -29,8 +32,7 @@ from .common import table, written
 WORD = re.compile(r"[^\W_]+")
 #: Words of a shingle, and the share of an item's shingles that makes a document contaminated.
 SHINGLE, OVERLAP = 5, 0.8
-PASSAGE, STRIDE = 128, 64
-#: BM25's parameters and the share of a unit's own score from which it is retrieved.
+#: BM25's parameters and the share of an item's own score from which search() finds it if no bounds are given.
 K1, B, THRESHOLD = 1.2, 0.75, 0.45
 BLOCK = 32
 #: Most items that are broadcast at a time; a larger benchmark takes several passes over the documents.
@@ -68,13 +70,15 @@ class Index:
     maxima: np.ndarray
     item_of: np.ndarray
     items: list[tuple]
+    bounds: np.ndarray
 
-    def search(self, passage: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-        """Numbers of all units whose score for the distinct terms of a passage reaches the threshold."""
+    def search(self, passage: np.ndarray, threshold: float | np.ndarray = THRESHOLD) -> np.ndarray:
+        """Numbers of all units whose score for the distinct terms of a passage reaches the threshold (one for all, or of each)."""
         n = -(-len(self.item_of) // BLOCK)
         at = _ranges(self.block_starts, passage)
         bound = np.bincount(self.blocks[at], self.maxima[at], n)
-        live = bound >= threshold - 1e-9
+        threshold = np.broadcast_to(np.asarray(threshold, float), self.item_of.shape)
+        live = bound >= np.minimum.reduceat(threshold, np.arange(0, len(threshold), BLOCK)) - 1e-9
         if not live.any():
             return np.zeros(0, np.int64)
         at = _ranges(self.starts, passage)
@@ -88,12 +92,8 @@ class Index:
             return []
         get = self.terms.get
         ids = np.fromiter((get(w, -1) for w in got), np.int64, len(got))
-        found: set[int] = set()
-        for begin in range(0, max(1, len(ids) - PASSAGE + STRIDE), STRIDE):
-            passage = ids[begin : begin + PASSAGE]
-            passage = np.unique(passage[passage >= 0])
-            if len(passage):
-                found.update(self.item_of[self.search(passage)].tolist())
+        passage = np.unique(ids[ids >= 0])
+        found = self.item_of[self.search(passage, self.bounds)].tolist() if len(passage) else []
         if not found:
             return []
         own, out = shingles(got), []
@@ -118,6 +118,23 @@ def _grouped(keys: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=size))])
 
 
+def least_score(got: list[str], impact: dict[str, float]) -> float:
+    """A bound on the summed impacts, 1 for all, of those words of an item that a document with OVERLAP of its shingles has."""
+    own = shingles(got)
+    held: dict[str, int] = {}
+    for s in own:
+        for w in set(s):
+            held[w] = held.get(w, 0) + 1
+    missing = len(own) - int(np.ceil(OVERLAP * len(own) - 1e-9))
+    left, lost = SHINGLE * missing, 0.0
+    for w in sorted((w for w in held if held[w] <= missing), key=lambda w: -impact[w] / held[w]):
+        lost += impact[w] * min(1.0, left / held[w])
+        left -= held[w]
+        if left <= 0:
+            break
+    return 1 - lost
+
+
 def build(items: list[tuple[int, str]], documents: dict[str, int] | None = None, total: int | None = None) -> Index:
     """Index of (item_id, text); items without words are left out. documents: in how many of total items
     each word occurs, over the whole benchmark (of these items, if not given)."""
@@ -128,11 +145,12 @@ def build(items: list[tuple[int, str]], documents: dict[str, int] | None = None,
         for _, _, got in kept:
             for w in set(got):
                 documents[w] = documents.get(w, 0) + 1
-    units = sorted((got[at : at + STRIDE], k) for k, (_, _, got) in enumerate(kept) for at in range(0, len(got), STRIDE))
+    units = sorted((got, k) for k, (_, _, got) in enumerate(kept))
     units.sort(key=lambda x: len(x[0]))
     mean = sum(len(u) for u, _ in units) / max(1, len(units))
     terms: dict[str, int] = {}
     rows: list[tuple[int, int, float]] = []
+    bounds = []
     for u, (got, _) in enumerate(units):
         tf: dict[str, int] = {}
         for w in got:
@@ -141,7 +159,9 @@ def build(items: list[tuple[int, str]], documents: dict[str, int] | None = None,
         idf = {w: np.log1p((total - documents[w] + 0.5) / (documents[w] + 0.5)) for w in tf}
         impact = {w: idf[w] * n * (K1 + 1) / (n + norm) for w, n in tf.items()}
         whole = sum(impact.values())
-        rows += [(terms.setdefault(w, len(terms)), u, x / whole) for w, x in impact.items()]
+        impact = {w: x / whole for w, x in impact.items()}
+        rows += [(terms.setdefault(w, len(terms)), u, x) for w, x in impact.items()]
+        bounds.append(least_score(got, impact))
     rows.sort()
     t, u = (np.array([r[c] for r in rows], np.int64) for c in (0, 1))
     x = np.array([r[2] for r in rows], float)
@@ -155,7 +175,7 @@ def build(items: list[tuple[int, str]], documents: dict[str, int] | None = None,
         listed.append((item_id, shingles(got), shingles(words(question)), shingles(words(answer))))
     return Index(
         terms, _grouped(t, len(terms)), u, x, _grouped(key[first] // max(1, blocks), len(terms)), key[first] % max(1, blocks), top,
-        np.array([k for _, k in units], np.int64), listed,
+        np.array([k for _, k in units], np.int64), listed, np.array(bounds, float),
     )
 
 

@@ -328,6 +328,21 @@ def test_decontamination(spark, at_once):
     assert len(got) >= 10
 
 
+def test_parts_far_apart_are_found():
+    rng = random.Random(4)
+    prose = lambda n, kind: [f"{kind}{rng.randint(0, 400)}" for _ in range(n)]
+    items = [(i, " ".join(prose(rng.randint(40, 64), "w"))) for i in range(60)]
+    index, docs = decontaminate.build(items), []
+    for i, t in items:
+        got = t.split()
+        a, b = len(got) // 3, 2 * len(got) // 3
+        # a shingle's reach of each part is repeated, so that all shingles but none of the whole's order stay
+        docs.append((i, " ".join([*got[: a + 4], *prose(400, "x"), *got[a : b + 4], *prose(400, "y"), *got[b:]])))
+        docs.append((1000 + i, " ".join(rng.choice([*got, "w1", "w2"]) for _ in range(300))))
+    want = brute_contaminations(docs, items)
+    assert {(d, x[0], x[1], x[2]) for d, t in docs for x in index.contaminations(t)} == want and len(want) >= 60
+
+
 def test_no_benchmark(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(frame(spark), none).count() == 0
