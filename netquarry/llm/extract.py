@@ -46,6 +46,11 @@ NOISE_WORDS = frozenset(
     "popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs footer sidebar rail widget comment comments disqus respond replies "
     "social share sharing related recommended newsletter subscribe subscription signup login pagination pager toolbar masthead skip hidden".split()
 )
+#: After these, a word of a class name or id says what the element has or hasn't, not what it is.
+MODIFIERS = frozenset("no not non has have with without".split())
+#: An element that is noise by a class name or id only isn't where it holds more than this share of a page's text; the second
+#: holds where other text is declared as content.
+MOST, MOST_BESIDE_CONTENT = 0.5, 0.9
 #: A site's own header is noise, an article's is part of it; so with these words.
 HEADER_WORDS = frozenset("header head topbar".split())
 CLOSES_P = frozenset(
@@ -64,6 +69,8 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
 
 NOISE, CONTENT, NONE = 0, 1, 2
+#: A header's class names: noise outside an article only. NAMED: noise by class names or id.
+HEADER, NAMED = 3, 4
 #: What a page tells of a node: that it has it, its child sequence, a text of its own.
 HAS, STYLE, TEXT = 0, 1, 2
 
@@ -78,19 +85,26 @@ def _told(tag: str, attributes: str) -> tuple[int, str]:
         return (NOISE if tag in NOISE_TAGS else CONTENT if tag in ("article", "main") else NONE), ""
     got = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
     classes = " ".join(sorted(re.sub(r"\d+", "", got.get("class", "")).split()))
-    tokens = {w.lower() for w in WORDS.findall(got.get("class", "") + " " + got.get("id", ""))}
+    tokens = set()
+    for name in f"{got.get('class', '')} {got.get('id', '')}".split():
+        for word in map(str.lower, WORDS.findall(name)):
+            if word in MODIFIERS:
+                break
+            tokens.add(word)
     role = got.get("role", "").lower()
     if tag in ("html", "body"):
         return NONE, ""
     if (
-        tag in NOISE_TAGS or role in NOISE_ROLES or tokens & NOISE_WORDS or "hidden" in got
+        tag in NOISE_TAGS or role in NOISE_ROLES or "hidden" in got
         or got.get("aria-hidden", "").lower() == "true" or HIDDEN.search(got.get("style", ""))
     ):
         return NOISE, classes
     if tag in ("article", "main") or role in ("main", "article") or got.get("itemprop", "").lower() == "articlebody":
         return CONTENT, classes
+    if tokens & NOISE_WORDS:
+        return NAMED, classes
     if tokens & HEADER_WORDS:
-        return NONE + 1, classes  # noise outside an article only
+        return HEADER, classes
     return NONE, classes
 
 
@@ -98,17 +112,35 @@ class Page:
     """A parsed page. runs: (number of its block, node, prior, text) of each stretch of text, in page order, white space made
     single. nodes: for each element its node and its child sequence."""
 
-    def __init__(self, html: str | None):
+    def __init__(self, html: str | None, spared: frozenset[int] = frozenset()):
+        """spared: numbers of the NAMED elements whose names are ignored."""
         self.runs: list[tuple[int, int, int, str]] = []
         self.nodes: list[tuple[int, int]] = []
         self._buffer: list[str] = []
         self._block = 0
         # of each open element: tag, node, what holds there, hash of its child sequence, last child
         self._open: list[list] = [["", 0, NONE, 0, None]]
+        self._spared, self._within = spared, []  # of each NAMED element the number of the one around it
         self._parse(html or "")
         self._break()
         while len(self._open) > 1:
             self._pop()
+        if not spared and (most := self._largest()):
+            self.__init__(html, most)
+
+    def _largest(self) -> frozenset[int]:
+        """Numbers of the NAMED elements that hold most of the page's text."""
+        sizes, inside = Counter(), Counter()
+        for _, _, prior, text in self.runs:
+            if prior != NOISE and text != " ":
+                sizes[min(prior, NAMED)] += len(text)
+                if prior >= NAMED:
+                    inside[prior - NAMED] += len(text)
+        for k in range(len(self._within) - 1, -1, -1):
+            if self._within[k] >= 0:
+                inside[self._within[k]] += inside[k]
+        least = (MOST_BESIDE_CONTENT if sizes[CONTENT] else MOST) * sum(sizes.values())
+        return frozenset(k for k, n in inside.items() if n > least)
 
     def _flush(self) -> None:
         if self._buffer:
@@ -163,7 +195,11 @@ class Page:
             holds = NOISE
         elif told == CONTENT and holds == NONE:
             holds = CONTENT
-        elif (told > NONE or tag == "header") and holds == NONE:
+        elif told == NAMED:
+            self._within.append(holds - NAMED if holds >= NAMED else -1)
+            if holds != NOISE and len(self._within) - 1 not in self._spared:
+                holds = NAMED + len(self._within) - 1
+        elif (told == HEADER or tag == "header") and holds == NONE:
             holds = NOISE
         node = _hash(f"{tag}.{classes}", above[1]) if block or classes or told != NONE else above[1]
         if node != above[1] and node != above[4]:  # a child repeated is one

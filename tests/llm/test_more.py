@@ -41,6 +41,20 @@ def test_pages(source, want):
     assert got == want or source.startswith("<a ")
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<nav>m</nav><main class='content no-sidebar'><p>the text</p></main>", "the text"), ("<article class='post has-comments'>the text</article><p>out</p>", "the text"),
+        ("<div class='layout-with-sidebar'><p>the text</p><div class='sidebar'>s</div></div>", "the text"), ("<section class='notice'><h1>T</h1><p>the text</p></section>", "T the text"),
+        ("<section class='notice'><article>the text<div class='share'>s</div></article></section>", "the text"), ("<article class='related'>the text</article>", "the text"),
+        ("<article>the text</article><div class='comments'>longer than the text</div>", "the text"), ("<div class='related'><nav>x</nav>links</div><p>the text</p>", "the text"),
+        ("<div class='widget'>" * 3000 + "the text", "the text"),
+    ],
+)
+def test_class_names_are_a_weak_prior(source, want):
+    assert main_text(source) == want
+
+
 def site(n, host, body):
     frame_ = "<body><div class='top'>Welcome to the shop</div><div class='c{i}'><h2>Story</h2><p>{b}</p></div><div class='low'>All rights belong to us</div></body>"
     return [(i, f"http://{host}/{i}", "<html>" + frame_.format(i=i, b=body(i))) for i in range(n)]
