@@ -8,9 +8,11 @@ all pages share tells nothing, one of its own tells all). Both make the composit
 more the content counts the fewer presentations the node has. A branch of low importance that
 enough pages have is removed from each of them.
 
-What the markup itself says weighs more than entropy: an element that is declared as navigation,
-footer, advert and the like is removed on one page as on a thousand, and what lies in an article or
-main element stays (see PRIOR_WEIGHT). Entropy decides on all else.
+What the markup itself says is a prior: an element that is declared as navigation, footer, advert and
+the like is removed on one page as on a thousand; what lies in an article or main element goes where
+its importance is next to nothing (see DECLARED). Entropy decides on all else. A removal that rests on
+few pages, or on little against a declaration, must leave a page most of its text: so articles that a
+host repeats stay.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from .common import table, written
 PRIOR_WEIGHT, STAY = 0.6, 0.5
 #: Decay of presentation's share, as in the composite importance of site style trees; pages that make a node count.
 GAMMA, PAGES = 0.9, 5
+#: Importance below which declared content goes; pages from which a node is judged with care: such removals take at most this share of a text.
+DECLARED, FEW, CARE = 0.1, 2, 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea xmp noembed noframes".split())
@@ -331,15 +335,21 @@ def extracted(pages: DataFrame) -> DataFrame:
     url has no host. Every row is returned, repeated ones too, and gets the same text.
     """
     pages = pages.select("page_id", "url", "html")
-    low = (F.col("importance") < (STAY - PRIOR_WEIGHT / 2) / (1 - PRIOR_WEIGHT)) & (F.col("pages") >= PAGES)
-    removed = style_tree(pages).where(low).groupBy("host").agg(F.collect_list("node").alias("sst_removed"))
+    low = (F.col("importance") < (STAY - PRIOR_WEIGHT / 2) / (1 - PRIOR_WEIGHT)) & (F.col("pages") >= FEW)
+    of = lambda which: F.collect_list(F.when(which, F.col("node")))
+    removed = style_tree(pages).where(low).groupBy("host").agg(
+        of(F.col("pages") >= PAGES).alias("sst_removed"), of(F.col("pages") < PAGES).alias("sst_few"), of(F.col("importance") < DECLARED).alias("sst_least")
+    )
     removed = written(removed, "removed").withColumnRenamed("host", "sst_host")  # its size is known: Spark chooses the join
     parsed = pages.mapInArrow(_runs(2, 1, ["page_id", "url"]), f"page_id long, url string, sst_host string, sst_runs {_RUNS}")
     joined = parsed.join(removed, "sst_host", "left")
-    stay = F.expr("filter(sst_runs, r -> r.content OR sst_removed IS NULL OR NOT array_contains(sst_removed, r.node))")
+    sure = F.expr("filter(sst_runs, r -> r.content OR sst_removed IS NULL OR NOT array_contains(sst_removed, r.node))")
+    careful = F.expr("filter(sure, r -> sst_removed IS NULL OR NOT array_contains(IF(r.content, sst_least, sst_few), r.node))")
+    length = "aggregate({}, 0L, (n, r) -> n + char_length(trim(r.text)))"
+    stay = F.expr(f"IF(size(careful) = size(sure) OR {length.format('careful')} < {1 - CARE} * {length.format('sure')}, sure, careful)")
     glued = F.expr("array_join(transform(stay, (r, i) -> concat(IF(i > 0 AND r.block <> stay[i - 1].block, ' ', ''), r.text)), '')")
     text = F.trim(F.regexp_replace(glued, " +", " "))
-    return joined.withColumn("stay", stay).select("page_id", "url", text.alias("text"))
+    return joined.withColumn("sure", sure).withColumn("careful", careful).withColumn("stay", stay).select("page_id", "url", text.alias("text"))
 
 
 def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,16 @@ def test_entropy_removes_what_all_pages_share(spark):
     assert tree.where("importance < -1e-9 OR importance > 1 + 1e-9").count() == 0
 
 
+def test_entropy_overrules_declarations_and_judges_few_pages(spark):
+    page = lambda i, body: f"<article><h1>Story {i}</h1><p>{body}</p><div class='box'>Tell your friends</div></article>"
+    pages = [(i, f"http://a.example/{i}", page(i, text(20, i))) for i in range(6)] + [(10 + i, f"http://same.example/{i}", page(0, text(20, 1))) for i in range(6)]
+    pages += [(20 + i, f"http://two.example/{i}", f"<div class='bar'>Home Shop Contact</div><div class='t'>{text(20, i)}</div>") for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in extract.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} {text(20, i)}" for i in range(6))
+    assert all(got[i] == f"Story 0 {text(20, 1)} Tell your friends" for i in range(10, 16))
+    assert [got[20], got[21]] == [text(20, 0), text(20, 1)]
+
+
 def test_pages_of_the_table(spark):
     d = "/root/testdata/sf0.01"
     got = {r["page_id"]: r["text"] for r in extract.op1_extract(spark, d).collect()}
