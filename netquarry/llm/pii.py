@@ -36,10 +36,17 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: A string with a digit, from its first digit on; its beginning is sought backwards.
 DIGITS = re.compile(r"[0-9][^\s\"'<>=,;:]*(?: [0-9(][^\s\"'<>=,;:]*)*")
+#: What may be written as an e-mail address: letters around "@" or "at" in or without brackets, then any labels with dots or "dot".
+#: A bare "at" takes a "dot" behind it, so that it isn't the preposition.
+_LABEL, _DOT = r"[^\W_][\w-]*", r"(?:\.|\s?[(\[{]\s?(?:dot|\.)\s?[)\]}]\s?|\sdot\s)"
+MAIL = re.compile(
+    rf"(?<![\w.%+-])[^\W_][\w.%+-]*+(?:(?:@|\s?[(\[{{]\s?(?:at|@)\s?[)\]}}]\s?){_LABEL}(?:{_DOT}{_LABEL})*|\sat\s{_LABEL}(?:{_DOT}{_LABEL})+)", re.I
+)
+AT = re.compile(r"[\s(\[{]at[\s)\]}]", re.I)
 BREAKS = frozenset("\"'<>=,;: \t\n\r\x0b\x0c")
 #: One or two words before an instance, with the signs that follow each.
 CONTEXT = re.compile(r"(?:([^\W\d_]+)([^\w\n]{1,4}))?([^\W\d_]+)([^\w\n]{1,4})\Z")
-SHORTEST = 6
+SHORTEST = 3
 
 
 def luhn(digits: str) -> bool:
@@ -90,9 +97,20 @@ def joined(spans) -> str:
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Identifier-shaped spans (SHORTEST code points and three digits at least) that touch no base span."""
-    out, free, taken = [], 0, sorted((s, e) for s, e, _ in base)
-    k = 0
+    """Identifier-shaped spans (SHORTEST code points and three digits at least, or an e-mail address as people write it)
+    that touch no base span, nor one another: of an address and a number that do, the address."""
+    taken = sorted((s, e) for s, e, _ in base)
+    mails, k = [], 0
+    for m in MAIL.finditer(text) if "@" in text or AT.search(text) else ():
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if not (k < len(taken) and taken[k][0] < m.end()):
+            mails.append(m.span())
+    return sorted(mails + _numbers(text, sorted(taken + mails)))
+
+
+def _numbers(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out, free, k = [], 0, 0
     for m in DIGITS.finditer(text):
         start, end = m.start(), m.end()
         while start > free and text[start - 1] not in BREAKS:

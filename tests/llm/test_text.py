@@ -265,6 +265,21 @@ def test_contexts_find_unseen_identifiers(spark):
     assert masked[100]["text"] == "please call [PHONE] now" and masked[100]["n_chars"] == 23 and masked[101]["text"] == unseen[1][1] and masked[102]["text"] is None
 
 
+def test_contexts_find_unseen_addresses(spark):
+    seeds = [(i, f"contact mail: user{i}@example.com today") for i in range(40)]
+    odd = ["jane.doe@intranet", "jane(at)example.com", "jane.doe at example dot com", "jane [at] example [dot] com"]
+    unseen = [(100 + i, f"contact mail: {x} today") for i, x in enumerate(odd)] + [(200, "we met at noon"), (201, "see jane.doe@intranet there")]
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(spark, frame(spark, seeds + unseen), "").collect()}
+    assert all(masked[100 + i] == "contact mail: [EMAIL] today" for i in range(len(odd)))
+    assert masked[200] == "we met at noon" and masked[201] == unseen[-1][1] and masked[0] == "contact mail: [EMAIL] today"
+
+
+def test_contexts_find_short_numbers(spark):
+    rows = [(i, f"please call +1 555 010 {1000 + i} now") for i in range(20)] + [(100, "please call 5550 now"), (101, "in 1999 then")]
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(spark, frame(spark, rows), "").collect()}
+    assert masked[100] == "please call [PHONE] now" and masked[101] == "in 1999 then"
+
+
 # Toxicity
 
 
