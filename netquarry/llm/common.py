@@ -4,12 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of text that a Python worker takes from Arrow at a time, if it isn't a single row's.
+AT_ONCE = 4 << 20
+
+
+def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices whose strings of that column have at most that many bytes, or one row; empty ones stay."""
+    for batch in batches:
+        strings, begin = batch.column(column), 0
+        kind = np.int64 if pa.types.is_large_string(strings.type) or pa.types.is_large_binary(strings.type) else np.int32
+        ends = np.frombuffer(strings.buffers()[1], kind)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, kind)
+        while True:
+            end = max(begin + 1, int(np.searchsorted(ends, int(ends[begin]) + most, "right")) - 1)
+            yield batch.slice(begin, end - begin)
+            if (begin := end) >= len(batch):
+                break
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

@@ -6,9 +6,10 @@ texts has often last, so that common lines make no candidates; what the sample m
 never a pair. Texts that share a prefix shingle, whose sizes and places in the prefixes admit the
 similarity, are candidates, and their sets are intersected.
 
-Components are wanted, not pairs. So at first each text is held only against one pivot for each of its
-prefix shingles, in two turns with different pivots; then all candidates that are still in
-different components are. No pair between components is left out.
+Components are wanted, not pairs. So pairs that a caller proposes are tried first. Then each text is held
+only against PIVOTS pivots of each of its prefix shingles whose texts aren't in one component yet, in TURNS turns with
+different pivots; at last all candidates that are still in different components are, few as they are
+then. No pair between components is left out.
 """
 
 from __future__ import annotations
@@ -18,18 +19,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded, written
 from .components import components
 
 SEED = 42
 SHINGLE = 5
 #: Similarity from which texts are linked: OVER / UNDER.
 OVER, UNDER = 4, 5
-#: Turns of pivots before all pairs; texts of the sample that gives the order, how often a shingle is common, and most of these.
-TURNS = 2
+#: Turns of pivots before all pairs, and pivots of a shingle in each; texts of the sample that gives the order, how often a
+#: shingle is common, and most of these.
+TURNS, PIVOTS = 3, 3
 SAMPLE, COMMON, MOST = 10_000, 4, 500_000
 
 
@@ -37,14 +39,17 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # bytes: A-Z only, and exactly the six ASCII spaces
 
 
-def name(text: str | None) -> int:
+def name(got: list[bytes]) -> int:
     """Hash of a text's words: the same for copies, and for all texts without words."""
-    return xxhash.xxh3_64_intdigest(b" ".join(words(text)), SEED)
+    return xxhash.xxh3_64_intdigest(b" ".join(got), SEED)
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes (int64) of a text's shingles; a text shorter than one is its own."""
-    got = words(text)
+    return shingles_of(words(text))
+
+
+def shingles_of(got: list[bytes]) -> np.ndarray:
     if not got:
         return np.zeros(0, np.int64)
     hashed = xxhash.xxh3_64_intdigest
@@ -68,7 +73,7 @@ def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarra
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in bounded(batches, 1):
         sets = [shingles(t) for t in batch.column(1).to_pylist()]
         ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         flat = np.concatenate([*sets, np.zeros(0, np.int64)])
@@ -78,17 +83,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _keyed(shared):
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
-        for batch in batches:
-            for begin in range(0, len(batch), 256):
-                part = batch.slice(begin, 256)
-                sets = [shingles(t) for t in part.column(1).to_pylist()]
-                firsts = [prefix(s, common, counts) for s in sets]
-                n = [len(f) for f in firsts]
-                columns = (
-                    np.concatenate([*firsts, np.zeros(0, np.int64)]), np.repeat(part.column(0).to_numpy(zero_copy_only=False), n),
-                    np.repeat([len(s) for s in sets], n).astype(np.int32), np.concatenate([*map(np.arange, n), np.zeros(0)]).astype(np.int32),
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "at"])
+        for part in bounded(batches, 1):
+            sets = [shingles(t) for t in part.column(1).to_pylist()]
+            firsts = [prefix(s, common, counts) for s in sets]
+            n = [len(f) for f in firsts]
+            columns = (
+                np.concatenate([*firsts, np.zeros(0, np.int64)]), np.repeat(part.column(0).to_numpy(zero_copy_only=False), n),
+                np.repeat([len(s) for s in sets], n).astype(np.int32), np.concatenate([*map(np.arange, n), np.zeros(0)]).astype(np.int32),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "at"])
 
     return keyed
 
@@ -114,39 +117,40 @@ def _similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
-def _pivot(rows: DataFrame, turn: int, more: tuple[str, ...] = ()) -> DataFrame:
-    """rows with a pivot of their key; those that are alone with theirs go."""
-    by = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-    pivot = [F.first(c).over(by).alias(f"p_{c}") for c in ("node", "n", "at", *more)]
-    beside = F.coalesce(F.lag("node").over(by), F.lead("node").over(by)).alias("beside")
-    return rows.select("*", *pivot, beside).where("beside IS NOT NULL").drop("beside")
+def _turn(members: DataFrame, edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(key, node, n, at, root of the members of keys whose texts are still in several components; those keys with
+    their pivots). Partial aggregates only: no key's members are gathered."""
+    root = written(components(edges), "roots")
+    rooted = members.join(root, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    left = written(rooted.join(apart, "key", "left_semi"), "members")
+    least = [
+        F.min(F.struct(F.xxhash64("node", F.lit(turn * PIVOTS + i)).alias("h"), *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "at", "root")])) for i in range(PIVOTS)
+    ]
+    return left, left.groupBy("key").agg(F.array_distinct(F.transform(F.array(*least), lambda p: p.dropFields("h"))).alias("pivots"))
 
 
-def groups(texts: DataFrame) -> DataFrame:
-    """texts (node long, the name() of its text, each once; text) -> node, root of the texts similar to another, as components()."""
+def groups(texts: DataFrame, links: DataFrame) -> DataFrame:
+    """texts (node long, the name() of its text, each once; text), links (a, b: pairs of nodes that may be similar, to be
+    tried first) -> node, root of the texts similar to another, as components()."""
     texts = texts.select("node", "text")
     share = max(1, texts.count() // SAMPLE)
     sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).mapInArrow(_sets, "node long, own array<long>")
     common = sample.select(F.explode("own").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     common = common.orderBy(F.desc("n"), "s").limit(MOST).toPandas().sort_values("s")  # the order of shingles only
     shared = texts.sparkSession.sparkContext.broadcast((common["s"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
-    keys = texts.mapInArrow(_keyed(shared), "key long, node long, n int, at int")
-    members = written(_pivot(keys, 0), "members")
-    tried = written(_pairs(members.where(_admitted("p_node", "p_n", "p_at")), "p_node"), "pairs")
+    tried = written(links.select("a", "b").where("a <> b").distinct(), "pairs")
     edges = written(_similar(texts, tried), "links")
-    members = members.select("key", "node", "n", "at")
-    for turn in range(1, TURNS + 1):
-        root = written(components(edges), "roots")
-        rooted = members.join(root, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
-        apart = F.min("root").over(Window.partitionBy("key")) != F.max("root").over(Window.partitionBy("key"))
-        members = written(rooted.withColumn("apart", apart).where("apart").drop("apart"), "members")
+    members = written(texts.mapInArrow(_keyed(shared), "key long, node long, n int, at int"), "keys")
+    for turn in range(TURNS + 1):
+        members, pivots = _turn(members, edges, turn)
         if turn < TURNS:
-            found = _pivot(members, turn, ("root",)).where("root <> p_root").where(_admitted("p_node", "p_n", "p_at"))
+            found = members.join(pivots.select("key", F.inline("pivots")), "key").where("root <> p_root")
         else:
             other = members.select("key", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "at", "root")])
-            found = members.join(other, "key").where("root <> p_root AND node < p_node").where(_admitted("p_node", "p_n", "p_at"))
-        pairs = written(_pairs(found, "p_node").join(tried, ["a", "b"], "left_anti"), "pairs")
+            found = members.join(other, "key").where("root <> p_root AND node < p_node")
+        pairs = written(_pairs(found.where(_admitted("p_node", "p_n", "p_at")), "p_node").join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(pairs)
         edges = edges.union(written(_similar(texts, pairs), "links"))
-        members = members.select("key", "node", "n", "at")
+        members = members.drop("root")
     return written(components(edges), "roots")

@@ -18,6 +18,7 @@ whatever the sizes of the buckets. Copies share one fingerprint and are counted
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import jaccard
-from .common import shielded, table, written
+from .common import bounded, shielded, table, written
 from .components import components
 
 SEED = 42
@@ -38,6 +39,8 @@ WORDS = 3
 RADIUS = 2
 #: Largest bucket whose pairs are verified directly.
 MEDIUM = 24
+#: Fingerprints of more than one in so many rows are joined by broadcast: there are fewer than that.
+HOT = 1000
 #: First bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fixed value: generator polynomial of the binary Golay code (23, 12).
@@ -55,7 +58,11 @@ def fingerprint(text: str | None) -> int:
     else:
         shingles = map(b" ".join, zip(words, words[1:], words[2:], strict=False))
     hashed = xxhash.xxh64_intdigest
-    h = np.fromiter((hashed(s, SEED) for s in shingles), np.uint64)
+    return majority(np.fromiter((hashed(s, SEED) for s in shingles), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 14):
         part = h[at : at + (1 << 14)]
@@ -64,7 +71,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in bounded(batches, 1):
         fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
@@ -154,13 +161,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id is kept; it is smallest only in a component without any other. Empty input: no rows.
     """
     fps = written(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     root = written(components(links(least)), "roots")
     of = root.join(least, root["node"] == least["fp"]).select("fp", "first", "root")
     merged = of.groupBy("root").agg(F.min("first").alias("smallest"))
     linked = of.join(merged, "root").select("fp", F.col("smallest").alias("linked"))
-    named = least.join(linked, "fp", "left").select("fp", F.coalesce("linked", "first").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = written(least.join(linked, "fp", "left").select("fp", F.coalesce("linked", "first").alias("component_id"), "n"), "named")
+    # fewer than HOT fingerprints have more than that share of the rows: theirs don't meet in one task
+    rows = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = named.where(F.col("n") * HOT > rows).select("fp", "component_id")
+    few = fps.join(F.broadcast(often), "fp", "left_anti").join(named.where(F.col("n") * HOT <= rows), "fp")
+    return few.select("doc_id", "fp", "component_id").union(fps.join(F.broadcast(often), "fp").select("doc_id", "fp", "component_id"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,29 +179,50 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _marked(at: int):
+    """Appends node, the hash of a text's words, and fp, the SimHash of its distinct five-word shingles."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, at):
+            words = [jaccard.words(t) for t in batch.column(at).to_pylist()]
+            names = np.array([jaccard.name(w) for w in words], np.uint64)
+            fps = np.array([majority(jaccard.shingles_of(w).view(np.uint64)) for w in words], np.uint64)
+            yield batch.append_column("node", pa.array(names.view(np.int64))).append_column("fp", pa.array(fps.view(np.int64)))
+
+    return marked
+
+
+def proposed(fps: DataFrame) -> DataFrame:
+    """fps (node, fp) -> (a, b), pairs of nodes: those of one fingerprint with the least of them, and the least ones of
+    fingerprints that Golay keys link."""
+    least = written(fps.groupBy("fp").agg(F.min("node").alias("least")), "least")
+    same = fps.join(least, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    end = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"node_{c}"))
+    near = links(least).join(end("a"), "a").join(end("b"), "b").select("node_a", "node_b")
+    return same.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of the rows that links of five-word Jaccard similarity 0.8 or more join one stays, whatever their
     doc_ids: the smallest doc_id's (a null one only where no row has any), of several the first by its text, then by
-    the other columns.
+    the other columns that have an order.
 
-    Rows with a null or repeated doc_id stay where their texts are no near duplicates. Texts without words are alike.
+    Golay keys of the texts' SimHash fingerprints propose pairs, which their shingle sets verify. Texts as similar as that may
+    differ in more bits than any keys can bridge; an exact join of the sets links those. Rows with a null or
+    repeated doc_id stay where their texts are no near duplicates. Texts without words are alike. No rows: none.
     """
     inner, restored = shielded(docs, "doc_id", "text")
-    schema = StructType([*inner.schema.fields, StructField("node", LongType())])
-    at = inner.columns.index("text")
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = np.array([jaccard.name(t) for t in batch.column(at).to_pylist()], np.uint64)
-            yield batch.append_column("node", pa.array(names.view(np.int64)))
-
-    order = [F.col("doc_id").isNull().alias("none"), *dict.fromkeys(["doc_id", "text", *inner.columns])]
-    first = F.min(F.struct(*order)).alias("r")
-    distinct = written(inner.mapInArrow(marked, schema).groupBy("node").agg(first), "distinct")
-    root = jaccard.groups(distinct.select("node", "r.text"))
-    alone = distinct.join(root, "node", "left_anti").select("r")
-    linked = distinct.join(root, "node").groupBy("root").agg(F.min("r").alias("r")).select("r")
-    return restored(alone.union(linked).select("r.*").drop("none"))
+    schema = StructType([*inner.schema.fields, StructField("node", LongType()), StructField("fp", LongType())])
+    # columns without an order go along as those of the row that stays
+    loose = [c for c in inner.columns if re.search("map|variant", inner.schema[c].dataType.simpleString())]
+    order = F.struct(F.col("doc_id").isNull().alias("none"), *dict.fromkeys(["doc_id", "text", *[c for c in inner.columns if c not in loose]]))
+    least = lambda r: [F.min(r).alias("r"), *[F.min_by(c, r).alias(c) for c in loose]]
+    rows = inner.mapInArrow(_marked(inner.columns.index("text")), schema)
+    distinct = written(rows.groupBy("node").agg(*least(order), F.min("fp").alias("fp")), "distinct")
+    root = jaccard.groups(distinct.select("node", "r.text"), proposed(distinct.select("node", "fp")))
+    alone = distinct.join(root, "node", "left_anti").select("r", *loose)
+    linked = distinct.join(root, "node").groupBy("root").agg(*least(F.col("r"))).select("r", *loose)
+    return restored(alone.union(linked).select(*[c if c in loose else F.col(f"r.{c}").alias(c) for c in inner.columns]))
 
 
 QUERIES = {"op2_simhash": op2_simhash}
