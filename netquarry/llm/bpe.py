@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
@@ -26,7 +25,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded, table
+from .runs import Runs
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Pieces and pairs of tokens remembered by a worker; beyond that it starts anew.
@@ -35,9 +35,6 @@ REMEMBERED = 200_000
 SHIFT = 20
 #: Longer pieces are encoded each time.
 LONG = 64
-#: Where white space adjoins white space, the place of one cut depends on what follows; elsewhere each
-#: space begins a piece and each line feed is one.
-CLUMSY = re.compile(r"\s\s")
 #: The pattern that cuts texts into pieces; white space as Unicode has it.
 PATTERN = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s+", r"\p{White_Space}+"))
 
@@ -50,21 +47,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Spaced(dict):
-    """Maps a run without spaces to the ids of a space and that run."""
-
-    def __init__(self, pieces: "Encoder"):
-        self.pieces = pieces
-
-    def __missing__(self, run: str) -> bytes:
-        ids = b"".join(map(self.pieces.__getitem__, PATTERN.findall(" " + run)))
-        if len(run) <= LONG:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[run] = ids
-        return ids
-
-
 class Encoder(dict):
     """Maps a piece to its ids as little-endian unsigned 32-bit integers; computes those it doesn't remember."""
 
@@ -98,7 +80,7 @@ class Encoder(dict):
         for i in [i for i, r in enumerate(self.rank) if r >= 0 and not self._compatible(self.left[i], self.right[i], r)]:
             self.automaton.remove_word(self.bytes[i].decode("latin-1"))
         self.automaton.make_automaton()
-        self.spaced = Spaced(self)
+        self.runs = Runs(self.encode, self._after_space, list(self.special), REMEMBERED)
         self.end = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
 
     def _compatible(self, a: int, b: int, limit: int = 1 << 60) -> bool:
@@ -157,16 +139,13 @@ class Encoder(dict):
 
     def plain(self, text: str) -> bytes:
         """Ids of a text without special tokens."""
-        if CLUMSY.search(text):
-            return b"".join(map(self.__getitem__, PATTERN.findall(text)))
-        out = []
-        for line in text.split("\n"):
-            first, *others = line.split(" ")
-            out.append(b"".join([*map(self.__getitem__, PATTERN.findall(first)), *map(self.spaced.__getitem__, others)]))
-        return self["\n"].join(out)
+        return b"".join(map(self.__getitem__, PATTERN.findall(text)))
+
+    def _after_space(self, runs: list[str]) -> list[bytes]:
+        return [self.plain(" " + r) for r in runs]
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of a text, 4 bytes each; the strings of special tokens in it are those tokens."""
+        """Ids of one text, 4 bytes each; the strings of special tokens in it are those tokens."""
         text = text or ""
         if self.end is None or not self.end.search(text):
             return self.plain(text)
@@ -177,7 +156,11 @@ class Encoder(dict):
         return b"".join([*out, self.plain(text[at:])])
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        """The text of ids; those that the vocabulary doesn't have stand for nothing, as in the library."""
+        known = np.frombuffer(ids, "<u4")
+        if len(known) and known.max() >= len(self.bytes):
+            known = known[known < len(self.bytes)]
+        return b"".join(map(self.bytes.__getitem__, known.tolist())).decode("utf-8", "replace")
 
 
 @cache
@@ -190,13 +173,12 @@ def encoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_tokens long, ids array<int>. A null or empty text has no ids; every row is returned."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        for batch in batches:
-            ids = [np.frombuffer(own.encode(t), "<u4").astype(np.int32) for t in batch.column(1).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
+        own = encoder(path).runs
+        for batch in bounded(batches, 1):
+            ids, ends = own.encode(batch.column(1))
+            ends = np.concatenate([[0], ends]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)],
+                [batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.view(np.int32)))],
                 ["doc_id", "n_tokens", "ids"],
             )
 
@@ -217,13 +199,12 @@ def decoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 def _round_trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = encoder()
-    for batch in batches:
-        n, ids_digest, text_digest = [], [], []
-        for text in batch.column(1).to_pylist():
-            ids = own.encode(text)
-            n.append(len(ids) // 4)
-            ids_digest.append(hashlib.sha256(ids).hexdigest())
-            text_digest.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
+    for batch in bounded(batches, 1):
+        ids, ends = own.runs.encode(batch.column(1))
+        n, ids_digest, text_digest = np.diff(ends, prepend=0), [], []
+        for x in np.split(ids, ends[:-1]) if len(ends) else []:
+            ids_digest.append(hashlib.sha256(x).hexdigest())
+            text_digest.append(hashlib.sha256(own.decode(x.tobytes()).encode()).hexdigest())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(text_digest, pa.string())],
             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -231,6 +212,8 @@ def _round_trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and of the text decoded from them, one row for each row of documents: repeated
+    ones too, null ids as they are; a null or empty text has no ids. Empty table: no rows."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return docs.mapInArrow(_round_trip, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

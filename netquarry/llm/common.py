@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 #: Bytes of text that a Python worker takes from Arrow at a time, if it isn't a single row's.
-AT_ONCE = 4 << 20
+AT_ONCE = 8 << 20
 
 
 def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:

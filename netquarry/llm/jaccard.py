@@ -8,7 +8,7 @@ similarity, are candidates, and their sets are intersected.
 
 Components are wanted, not pairs. So pairs that a caller proposes are tried first. Then each text is held
 only against PIVOTS pivots of each of its prefix shingles whose texts aren't in one component yet, in TURNS turns with
-different pivots; at last all candidates that are still in different components are, few as they are
+different pivots, some of them the texts with most links so far; at last all candidates that are still in different components are, few as they are
 then. No pair between components is left out.
 """
 
@@ -29,9 +29,9 @@ SEED = 42
 SHINGLE = 5
 #: Similarity from which texts are linked: OVER / UNDER.
 OVER, UNDER = 4, 5
-#: Turns of pivots before all pairs, and pivots of a shingle in each; texts of the sample that gives the order, how often a
+#: Turns of pivots before all pairs, pivots of a shingle in each, and how many of them are those with most links; texts of the sample that gives the order, how often a
 #: shingle is common, and most of these.
-TURNS, PIVOTS = 3, 3
+TURNS, PIVOTS, CENTRAL = 3, 3, 2
 SAMPLE, COMMON, MOST = 10_000, 4, 500_000
 
 
@@ -117,17 +117,20 @@ def _similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
-def _turn(members: DataFrame, edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+def _turn(members: DataFrame, edges: DataFrame, used: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """(key, node, n, at, root of the members of keys whose texts are still in several components; those keys with
     their pivots). Partial aggregates only: no key's members are gathered."""
     root = written(components(edges), "roots")
-    rooted = members.join(root, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+    links = edges.select(F.explode(F.array("a", "b")).alias("node")).join(used, "node", "left_anti").groupBy("node").agg(F.count("*").alias("links"))
+    told = written(root.join(links, "node", "left"), "told")
+    rooted = members.join(told, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     left = written(rooted.join(apart, "key", "left_semi"), "members")
-    least = [
-        F.min(F.struct(F.xxhash64("node", F.lit(turn * PIVOTS + i)).alias("h"), *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "at", "root")])) for i in range(PIVOTS)
-    ]
-    return left, left.groupBy("key").agg(F.array_distinct(F.transform(F.array(*least), lambda p: p.dropFields("h"))).alias("pivots"))
+    least = []
+    for i in range(PIVOTS):
+        order = [F.when(F.lit(i < CENTRAL), -F.col("links")).alias("o"), F.xxhash64("node", F.lit(turn * PIVOTS + i)).alias("h")]
+        least.append(F.min(F.struct(*order, *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "at", "root")])))
+    return left, left.groupBy("key").agg(F.array_distinct(F.transform(F.array(*least), lambda p: p.dropFields("o", "h"))).alias("pivots"))
 
 
 def groups(texts: DataFrame, links: DataFrame) -> DataFrame:
@@ -142,9 +145,12 @@ def groups(texts: DataFrame, links: DataFrame) -> DataFrame:
     tried = written(links.select("a", "b").where("a <> b").distinct(), "pairs")
     edges = written(_similar(texts, tried), "links")
     members = written(texts.mapInArrow(_keyed(shared), "key long, node long, n int, at int"), "keys")
+    used = texts.select("node").limit(0)
     for turn in range(TURNS + 1):
-        members, pivots = _turn(members, edges, turn)
+        members, pivots = _turn(members, edges, used, turn)
         if turn < TURNS:
+            pivots = written(pivots, "pivots")
+            used = used.union(pivots.select(F.explode("pivots.p_node").alias("node")))
             found = members.join(pivots.select("key", F.inline("pivots")), "key").where("root <> p_root")
         else:
             other = members.select("key", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "at", "root")])
@@ -152,5 +158,5 @@ def groups(texts: DataFrame, links: DataFrame) -> DataFrame:
         pairs = written(_pairs(found.where(_admitted("p_node", "p_n", "p_at")), "p_node").join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(pairs)
         edges = edges.union(written(_similar(texts, pairs), "links"))
-        members = members.drop("root")
+        members = members.drop("root", "links")
     return written(components(edges), "roots")

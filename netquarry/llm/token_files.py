@@ -12,39 +12,45 @@ value instead of 64. The position of every SAMPLE-th one in the bitmap is kept,
 the i-th boundary from the nearest sample. The footer is JSON, then its length and MAGIC.
 
 Writers name each attempt's file anew; the manifest, a Parquet table that Spark commits, lists the
-files that count. So retried and speculative tasks do no harm.
+files that count. So retried and speculative tasks do no harm. Readers take ranges of documents, whose
+offsets come from select.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, table
+from .common import bounded, shared_path, table
+from .runs import Runs
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: The id that ends each document.
 END = 2
 MAGIC = b"NQIDS001"
 SAMPLE = 256
-#: Runs of text that a worker remembers the ids of; beyond that it starts anew.
+#: How byte-level vocabularies write a space.
+SPACE = "\u0120"
+#: Runs of text that a worker remembers the ids of.
 REMEMBERED = 400_000
-LONG = 64
-CLUMSY = re.compile(r"\s\s")
+#: Bytes of text that are encoded together.
+TEXT = 16 << 20
+#: Documents of a range that is read together, and about how many ids of it at a time.
+RANGE, AT_ONCE = 2048, 2 << 20
 
 
 class EliasFano:
@@ -80,39 +86,37 @@ class EliasFano:
             at += size
         return cls(told["n"], told["low_bits"], *parts), at
 
-    def _low(self, i: int) -> int:
-        first, last = i * self.low_bits, (i + 1) * self.low_bits
-        return int.from_bytes(self.low[first // 8 : -(-last // 8)], "little") >> first % 8 & ((1 << self.low_bits) - 1)
-
     def select(self, i: int) -> int:
         """The i-th value, from the nearest sample."""
-        count = -(-self.n // SAMPLE)
-        width = len(self.samples) // count
-        at = int.from_bytes(self.samples[i // SAMPLE * width : (i // SAMPLE + 1) * width], "little")
-        left = i % SAMPLE
-        byte = at // 8
-        window = self.high[byte] >> at % 8 << at % 8
-        while (ones := window.bit_count()) <= left:
-            left -= ones
-            byte += 1
-            window = self.high[byte]
-        for _ in range(left):
-            window &= window - 1
-        return (byte * 8 + (window & -window).bit_length() - 1 - i << self.low_bits) | self._low(i)
+        return int(self.selected(i, i + 1)[0])
+
+    def selected(self, i: int, j: int) -> np.ndarray:
+        """The values from the i-th to before the j-th: the bitmap from the sample before to the one behind them, and their
+        low parts. Nothing else is read."""
+        if i >= j:
+            return np.zeros(0, np.int64)
+        width = len(self.samples) // -(-self.n // SAMPLE)
+        place = lambda k: int.from_bytes(self.samples[k * width : (k + 1) * width], "little")
+        first, behind = i // SAMPLE, -(-j // SAMPLE)
+        begin = place(first) // 8
+        end = place(behind) // 8 + 1 if behind * SAMPLE < self.n else len(self.high)
+        ones = np.nonzero(np.unpackbits(np.frombuffer(self.high[begin:end], np.uint8), bitorder="little"))[0] + 8 * begin
+        skip = int(np.searchsorted(ones, place(first))) + i % SAMPLE
+        upper = ones[skip : skip + j - i] - np.arange(i, j)
+        if not self.low_bits:
+            return upper
+        at = i * self.low_bits
+        low = np.unpackbits(np.frombuffer(self.low[at // 8 : -(-j * self.low_bits // 8)], np.uint8), bitorder="little")[at % 8 :]
+        low = low[: (j - i) * self.low_bits].reshape(j - i, self.low_bits).astype(np.int64)
+        return (upper << self.low_bits) | (low << np.arange(self.low_bits)).sum(1)
 
     def values(self) -> np.ndarray:
         """All values."""
-        if not self.n:
-            return np.zeros(0, np.int64)
-        ones = np.nonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[0]
-        low = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        part = (low.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
-        return ((((ones - np.arange(self.n)).astype(np.uint64)) << np.uint64(self.low_bits)) | part).astype(np.int64)
+        return self.selected(0, self.n)
 
 
 class Library:
-    """Ids by the tokenizers library. It is asked once for each run of text between spaces: where no white space adjoins
-    other white space, a space or a line feed always begins a piece, and no merge crosses that."""
+    """Ids by the tokenizers library, which is asked once for each run of text between spaces (see runs)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -121,47 +125,31 @@ class Library:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
-        self.first: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.line = self._ids("\n")
-
-    def _ids(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _learn(self, known: dict[str, bytes], runs: list[str], prefix: str) -> dict[str, bytes]:
-        """Ids of the runs that aren't known yet; the short ones become known."""
-        new = [r for r in dict.fromkeys(runs) if r not in known]
-        told = self.tokenizer.encode_batch_fast([prefix + r for r in new], add_special_tokens=False) if new else []
-        fresh = {r: array("I", t.ids).tobytes() for r, t in zip(new, told, strict=True)}
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-        known.update((r, b) for r, b in fresh.items() if len(r) <= LONG)
-        return fresh
+        self.after = np.zeros(self.size, bool)  # tokens that begin with a space
+        self.after[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(SPACE)]] = True
+        self.runs = Runs(self.encode, self._after_space, [t.content for t in self.tokenizer.get_added_tokens_decoder().values()], REMEMBERED)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text, 4 bytes each."""
-        text = text or ""
-        if CLUMSY.search(text) or any(s in text for s in self.special):
-            return self._ids(text)
-        lines = [line.split(" ") for line in text.split("\n")]
-        spaced, first = [r for line in lines for r in line[1:]], [line[0] for line in lines]
-        ids_of = self._lookup(self.spaced, spaced, " ")
-        first_of = self._lookup(self.first, first, "")
-        out, at = [], 0
-        for line, head in zip(lines, first_of, strict=True):
-            end = at + len(line) - 1
-            out.append(head + b"".join(ids_of[at:end]))
-            at = end
-        return self.line.join(out)
-
-    def _lookup(self, known: dict[str, bytes], runs: list[str], prefix: str) -> list[bytes]:
-        got = list(map(known.get, runs))
-        if None in got:
-            fresh = self._learn(known, [r for r, b in zip(runs, got, strict=True) if b is None], prefix)
-            got = [fresh[r] if b is None else b for r, b in zip(runs, got, strict=True)]
-        return got
+        return array("I", self.tokenizer.encode(text or "", add_special_tokens=False).ids).tobytes()
+
+    def _after_space(self, runs: list[str]) -> list[bytes]:
+        """All runs go as one text, whose ids are cut before each token that begins with a space."""
+        out: list = [None] * len(runs)
+        joint = list(filter(None, runs))
+        if joint:
+            told = self.tokenizer.encode_batch_fast([" " + " ".join(joint)], add_special_tokens=False)[0]
+            ids = np.array(told.ids, "<u4")
+            at = np.nonzero(self.after[ids])[0]
+            if len(at) == len(joint) and at[0] == 0:
+                raw, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+                cut = [raw[a:b] for a, b in pairwise(cuts)]
+                if len(cut) == len(runs):
+                    return cut
+                told = iter(cut)
+                out = [next(told) if r else None for r in runs]
+        return [self.encode(" " + r) if b is None else b for r, b in zip(runs, out, strict=True)]
 
 
 @cache
@@ -188,19 +176,18 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
         store, at = fs.FileSystem.from_uri(path)
         name, out = f"shard-{number:06d}-{uuid.uuid4().hex}.ids", None
         lengths, doc_ids, nulls = array("q"), array("q"), 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if out is None:
-                    store.create_dir(at, recursive=True)
-                    out = store.open_output_stream(f"{at}/{name}")
-                    out.write(MAGIC)
-                ids = np.frombuffer(own.encode(text) + end.to_bytes(4, "little"), "<u4")
-                out.write(ids.astype(width).tobytes())
-                lengths.append(len(ids))
-                if doc_id is None:
-                    nulls += 1
-                else:
-                    doc_ids.append(doc_id)
+        for batch in bounded(batches, 1, TEXT):
+            if not len(batch):
+                continue
+            if out is None:
+                store.create_dir(at, recursive=True)
+                out = store.open_output_stream(f"{at}/{name}")
+                out.write(MAGIC)
+            ids, ends = own.runs.encode(batch.column(1))
+            out.write(np.insert(ids.astype(width), ends, end).tobytes())
+            lengths.frombytes((np.diff(ends, prepend=0) + 1).astype(np.int64).tobytes())
+            nulls += batch.column(0).null_count
+            doc_ids.frombytes(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).tobytes())
         if out is None:
             return
         ends, known = np.cumsum(np.frombuffer(lengths, np.int64)), np.frombuffer(doc_ids, np.int64)
@@ -217,59 +204,85 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
 
 
 class Shard:
-    """A shard's file, read."""
+    """A shard's file (open, or its bytes), of which only what is asked for is read."""
 
-    def __init__(self, raw: bytes):
-        if raw[: len(MAGIC)] != MAGIC or raw[-len(MAGIC) :] != MAGIC:
+    def __init__(self, file: pa.NativeFile | bytes):
+        self.file = pa.BufferReader(file) if isinstance(file, bytes) else file
+        size = self.file.size()
+        told = self._part(max(0, size - len(MAGIC) - 8), len(MAGIC) + 8)
+        if told[8:] != MAGIC or self._part(0, len(MAGIC)) != MAGIC:
             raise ValueError("not a shard, or one cut short")
-        size = int.from_bytes(raw[-len(MAGIC) - 8 : -len(MAGIC)], "little")
-        told = json.loads(bytes(raw[-len(MAGIC) - 8 - size : -len(MAGIC) - 8]))
-        at = len(MAGIC) + told["ids"] * np.dtype(told["width"]).itemsize
-        self.ids = np.frombuffer(raw, told["width"], told["ids"], len(MAGIC))
-        self.boundaries, at = EliasFano.read(raw, at, told["boundaries"])
-        self.names, _ = EliasFano.read(raw, at, told["doc_ids"])
-        self.nulls, self.least = told["nulls"], told["least"]
+        tail = int.from_bytes(told[:8], "little")
+        told = json.loads(self._part(size - len(told) - tail, tail))
+        self.width, self.nulls, self.least = np.dtype(told["width"]), told["nulls"], told["least"]
+        at = len(MAGIC) + told["ids"] * self.width.itemsize
+        parts = self._part(at, sum(told["boundaries"]["sizes"]) + sum(told["doc_ids"]["sizes"]))  # some bits a document
+        self.boundaries, at = EliasFano.read(parts, 0, told["boundaries"])
+        self.names, _ = EliasFano.read(parts, at, told["doc_ids"])
+
+    def _part(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
+
+    def ends(self, i: int, j: int) -> np.ndarray:
+        """Where the document before the i-th ends (0: none), and those up to before the j-th, by select."""
+        return np.concatenate([np.zeros(int(i == 0), np.int64), self.boundaries.selected(max(0, i - 1), j)])
+
+    def ids(self, begin: int, end: int) -> np.ndarray:
+        """The ids from begin to before end of the shard's array."""
+        return np.frombuffer(self._part(len(MAGIC) + begin * self.width.itemsize, (end - begin) * self.width.itemsize), self.width)
 
     def document(self, i: int) -> np.ndarray:
         """Ids of the i-th document, by two selects."""
-        return self.ids[self.boundaries.select(i - 1) if i else 0 : self.boundaries.select(i)]
+        return self.ids(*self.ends(i, i + 1).tolist())
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.names.values() + self.least).tolist()
+    def doc_ids(self, i: int, j: int) -> list[int | None]:
+        """Of the documents from the i-th to before the j-th; null ones are the first."""
+        none = min(j, self.nulls) - min(i, self.nulls)
+        return [None] * none + (self.names.selected(max(0, i - self.nulls), max(0, j - self.nulls)) + self.least).tolist()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """What write() wrote: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, in no particular order.
 
-    The driver keeps one row a shard, as it does of any table's files.
+    A shard's start is the sum of the ids of the shards before it, over groups of shards and within them. Tasks read ranges
+    of RANGE documents, each by the select structures of its shard.
     """
-    manifest = spark.read.parquet(f"{path}/manifest").orderBy("shard").toPandas()
-    starts = dict(zip(manifest["file"], (manifest["ids"].cumsum() - manifest["ids"]).tolist(), strict=True))
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not starts:
-        return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(starts)
+    manifest = spark.read.parquet(f"{path}/manifest").withColumn("part", F.floor(F.col("shard") / 1024))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("ids").alias("ids"))
+    parts = parts.select("part", F.coalesce(F.sum("ids").over(before().orderBy("part")), F.lit(0)).alias("begin"))
+    within = F.coalesce(F.sum("ids").over(before("part").orderBy("shard")), F.lit(0))
+    shards = manifest.withColumn("within", within).join(parts, "part").select("file", (F.col("begin") + F.col("within")).alias("base"), "documents")
+    ranges = shards.select("file", "base", "documents", F.explode(F.sequence(F.lit(0), F.col("documents") - 1, F.lit(RANGE))).alias("first"))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = fs.FileSystem.from_uri(path)
+        name, shard = None, None
         for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                base = shared.value.get(name.rpartition("/")[2])
-                if base is None:  # of an attempt that didn't count
-                    continue
-                shard = Shard(raw.as_buffer())
-                ends = shard.boundaries.values()
-                begins = np.concatenate([[0], ends[:-1]])
-                crc = [zlib.crc32(shard.ids[b:e].astype("<u4").tobytes()) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
+            for row in batch.to_pylist():
+                if row["file"] != name:
+                    name = row["file"]
+                    shard = Shard(store.open_input_file(f"{at}/{name}"))
+                i, j = row["first"], min(row["documents"], row["first"] + RANGE)
+                ends = shard.ends(i, j)
+                cuts, crc = ends.tolist(), []
+                while len(crc) < j - i:
+                    k = len(crc)
+                    behind = max(k + 1, int(np.searchsorted(ends, cuts[k] + AT_ONCE, "right")) - 1)
+                    ids = shard.ids(cuts[k], cuts[behind]).astype("<u4")
+                    crc += [zlib.crc32(ids[b - cuts[k] : e - cuts[k]]) for b, e in zip(cuts[k:behind], cuts[k + 1 : behind + 1], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.doc_ids(), pa.int64()), pa.array(begins + base, pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(crc, pa.int64())],
+                    [pa.array(shard.doc_ids(i, j), pa.int64()), pa.array(ends[:-1] + row["base"]), pa.array(np.diff(ends)), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(path).select("path", "content")
-    return files.mapInArrow(unpack, schema)
+    return ranges.repartition(F.col("file"), F.col("first")).mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents, repeated ones too, written and read back; a null or empty text has the end id alone. Null ids
+    come first. Empty table: no rows."""
     write(table(spark, sf_dir, "documents", "doc_id", "text"), path := shared_path(spark, "token-files"))
     return read(spark, path)
 
