@@ -46,9 +46,9 @@ SAMPLE = 256
 #: How byte-level vocabularies write a space.
 SPACE = "\u0120"
 #: Runs of text that a worker remembers the ids of.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Bytes of text that are encoded together.
-TEXT = 16 << 20
+TEXT = 8 << 20
 #: Documents of a range that is read together, and about how many ids of it at a time.
 RANGE, AT_ONCE = 2048, 2 << 20
 
