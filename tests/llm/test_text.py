@@ -313,6 +313,54 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(frame(spark, []), toxicity.fit(frame(spark, []), none)).count() == 0
 
 
+def test_kneser_ney_against_brute_force(spark):
+    """All counts are used, and each context's probabilities add up to 1 over the vocabulary and one unknown word."""
+    rng = random.Random(4)
+    texts = [(" ".join(rng.choices("a b c d e f g rare".split(), [9, 8, 6, 4, 3, 2, 1, 0.3], k=rng.randint(1, 12))), rng.randint(0, 1)) for _ in range(60)]
+    model = toxicity.count(spark.createDataFrame(texts, "text string, toxic int").repartition(3))
+    known = toxicity.lexicon(model)
+    pairs = [{}, {}]
+    for t, y in texts:
+        got = ["", *t.split()]
+        for x in zip(got, got[1:]):
+            pairs[y][x] = pairs[y].get(x, 0) + 1
+    every = pairs[0].keys() | pairs[1].keys()
+    vocabulary = sorted({b for _, b in every})
+    assert model.vocabulary == len(vocabulary)
+
+    def spread(counts):
+        d = toxicity.discounts({k: sum(n == k for n in counts.values()) for k in (1, 2, 3, 4)})
+        return {b: (n - d[min(n, 3)]) / sum(counts.values()) for b, n in counts.items()}
+
+    both = spread({b: sum(x[1] == b for x in every) for b in vocabulary})
+    shared = lambda b: both.get(b, 0) + (1 - sum(both.values())) / (len(vocabulary) + 1)
+    for c in (0, 1):
+        own = spread({b: n for b in vocabulary if (n := sum(x[1] == b for x in pairs[c]))})
+        low = lambda b: own.get(b, 0) + (1 - sum(own.values())) * shared(b)  # noqa: B023, E731
+        d = toxicity.discounts({k: sum(n == k for n in pairs[c].values()) for k in (1, 2, 3, 4)})
+        for a in ["", *vocabulary, "never seen"]:
+            after = {b: n for (x, b), n in pairs[c].items() if x == a}
+            whole, left = sum(after.values()), sum(d[min(n, 3)] for n in after.values())
+            want, got = [], []
+            for b in [*vocabulary, "unknown"]:
+                n = after.get(b, 0)
+                want.append((n - d[min(n, 3)]) / whole + left / whole * low(b) if whole else low(b))
+                at = [known.find(np.array([toxicity.hashed(w)], np.uint64)) for w in (a, b)]
+                seen = np.zeros((2, 1), np.int64)
+                toxicity.page_pairs(model, 0).count(toxicity.mixed(*(np.array([toxicity.hashed(w)], np.uint64) for w in (a, b))), seen)
+                got.append(known.probability(c, seen[c], *at, model.pair_discounts[c])[0])
+            assert got == pytest.approx(want) and sum(got) == pytest.approx(1)
+
+
+def test_pages_of_pairs_make_no_difference(spark, monkeypatch):
+    texts = spark.createDataFrame([(text(30, i), i % 2) for i in range(80)], "text string, toxic int")
+    one = toxicity.count(texts)
+    monkeypatch.setattr(toxicity, "PAGE", 50)
+    many = toxicity.count(texts)
+    asked = [r["text"] for r in texts.collect()] + [None, "", "unknown words"]
+    assert many.pages > one.pages == 1 and one.features(asked) == pytest.approx(many.features(asked))
+
+
 # Decontamination
 
 
