@@ -18,14 +18,15 @@ both). A logistic curve, fitted on a fold that the counts haven't seen, turns bo
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as ds
+import pyarrow.parquet as pq
 import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -110,12 +111,15 @@ def discounts(counts: dict[int, int]) -> np.ndarray:
 @dataclass
 class Model:
     """Where the tables lie, how many pages the pairs have, discounts of pairs by class and of continuations (both classes,
-    then by class), the continuations' totals, words in all, and the curve's weights (constant, document, expression)."""
+    then by class), the continuations' totals and the shares that their discounts leave, words in all, and the curve's weights
+    (constant, document, expression)."""
 
     path: str = ""
     pages: int = 0
     pair_discounts: list[np.ndarray] = field(default_factory=list)
     word_discounts: list[np.ndarray] = field(default_factory=list)
+    totals: list[int] = field(default_factory=list)
+    left: list[float] = field(default_factory=list)
     vocabulary: int = 0
     weights: np.ndarray = field(default_factory=lambda: np.zeros(3))
 
@@ -155,23 +159,27 @@ class Lexicon:
     """The words' table: hashes in order, then one place for all unknown words. low: by class the lower-order probability;
     rest: by class the weight that a word as context leaves to it; seen: by class the tokens after it."""
 
-    def __init__(self, counts: dict[str, np.ndarray], model: Model):
-        order = np.argsort(counts["w"])
-        self.words = counts["w"][order]
-        n = {c: np.append(counts[c][order], 0).astype(float) for c in COUNTS}
-        kept, left = [], []
-        for c, d in zip(("c", "c0", "c1"), model.word_discounts, strict=True):
-            own = np.maximum(n[c] - d[np.minimum(n[c], 3).astype(int)], 0) / max(1.0, n[c].sum())
-            kept.append(own)
-            left.append(1 - own.sum())
-        both = kept[0] + left[0] / (model.vocabulary + 1)
-        self.low = [kept[c] + left[c] * both for c in (1, 2)]
-        self.seen, self.rest = [], []
-        for c, d in enumerate(model.pair_discounts):
-            seen = n[f"s{c}"]
-            self.seen.append(np.maximum(seen, 1))
-            lost = d[1] * n[f"o{c}"] + d[2] * n[f"t{c}"] + d[3] * n[f"m{c}"]
-            self.rest.append(np.where(seen > 0, lost / self.seen[-1], 1.0))
+    def __init__(self, path: str, model: Model):
+        size = _rows(path)
+        self.words = np.empty(size, np.uint64)
+        self.low, self.rest, self.seen = ([np.empty(size + 1, np.float32) for _ in (0, 1)] for _ in range(3))
+        unknown, at = model.left[0] / (model.vocabulary + 1), 0
+        for columns in _read(path, ["w", *COUNTS]):
+            n = dict(zip(COUNTS, columns[1:], strict=True))
+            s = slice(at, at := at + len(columns[0]))
+            self.words[s] = columns[0].view(np.uint64)
+            kept = [(n[c] - d[np.minimum(n[c], 3)]) / max(1, t) for c, d, t in zip(("c", "c0", "c1"), model.word_discounts, model.totals, strict=True)]
+            for c, d in enumerate(model.pair_discounts):
+                self.low[c][s] = kept[1 + c] + model.left[1 + c] * (kept[0] + unknown)
+                lost = d[1] * n[f"o{c}"] + d[2] * n[f"t{c}"] + d[3] * n[f"m{c}"]
+                self.seen[c][s] = np.maximum(n[f"s{c}"], 1)
+                self.rest[c][s] = np.where(n[f"s{c}"] > 0, lost / self.seen[c][s], 1)
+        order = np.argsort(self.words)
+        self.words = self.words[order]
+        for c in (0, 1):
+            for x in (self.low[c], self.rest[c], self.seen[c]):
+                x[:size] = x[:size][order]
+            self.low[c][size], self.rest[c][size], self.seen[c][size] = model.left[1 + c] * unknown, 1, 1
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places of words; of unknown ones the last."""
@@ -184,34 +192,35 @@ class Lexicon:
 
 
 class Pairs:
-    """A page of the pairs' table: hashes in order and counts by class, those from FULL on apart."""
-
-    FULL = 65535
-
-    def __init__(self, parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        tops: list[list] = [[] for _ in range(64)]  # by the highest bits, so that no more than a part is sorted at a time
-        for key, n0, n1 in parts:
-            top = (key >> np.uint64(58)).astype(np.uint8)
-            order = np.argsort(top, kind="stable")
-            cuts = np.searchsorted(top[order], np.arange(65))
-            small = [np.minimum(n, self.FULL).astype(np.uint16)[order] for n in (n0, n1)]
-            key, whole = key[order], [n[order] for n in (n0, n1)]
-            for t in range(64):
-                s = slice(cuts[t], cuts[t + 1])
-                large = np.maximum(whole[0][s], whole[1][s]) >= self.FULL
-                tops[t].append((key[s], small[0][s], small[1][s], [(k, x, y) for k, x, y in zip(key[s][large].tolist(), whole[0][s][large].tolist(), whole[1][s][large].tolist(), strict=True)]))
-        size = sum(len(p[0]) for top in tops for p in top)
-        self.key, self.n, self.large, at = np.empty(size, np.uint64), np.empty((2, size), np.uint16), {}, 0
-        for t in range(64):
-            if tops[t]:
-                key = np.concatenate([p[0] for p in tops[t]])
-                order = np.argsort(key)
-                s = slice(at, at := at + len(key))
-                self.key[s] = key[order]
-                for c in (0, 1):
-                    self.n[c, s] = np.concatenate([p[1 + c] for p in tops[t]])[order]
-                self.large |= {k: (x, y) for p in tops[t] for k, x, y in p[3]}
-                tops[t] = []
+    """A page of the pairs' table: hashes in order and counts by class, those from FULL on apart. It is read twice, so that
+    each row goes where its highest bits belong, and only rows that share these are sorted at a time."""
+
+    FULL, TOP = 255, 8
+
+    def __init__(self, path: str):
+        top = lambda key: (key >> np.uint64(64 - self.TOP)).astype(np.int64)
+        sizes = np.zeros(1 << self.TOP, np.int64)
+        for a, b in _read(path, ["a", "b"]):
+            sizes += np.bincount(top(mixed(a.view(np.uint64), b.view(np.uint64))), minlength=len(sizes))
+        ends = np.cumsum(sizes)
+        free = ends - sizes
+        self.key, self.n, self.large = np.empty(int(ends[-1]), np.uint64), np.empty((2, int(ends[-1])), np.uint8), {}
+        for a, b, *n in _read(path, ["a", "b", "n0", "n1"]):
+            key = mixed(a.view(np.uint64), b.view(np.uint64))
+            of = top(key)
+            order = np.argsort(of, kind="stable")
+            counts = np.bincount(of, minlength=len(sizes))
+            at = np.repeat(free - (np.cumsum(counts) - counts), counts) + np.arange(len(key))
+            free += counts
+            self.key[at] = key[order]
+            for c in (0, 1):
+                self.n[c, at] = np.minimum(n[c], self.FULL)[order]
+            for i in np.nonzero(np.maximum(*n) >= self.FULL)[0].tolist():
+                self.large[int(key[i])] = int(n[0][i]), int(n[1][i])
+        for begin, end in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+            order = np.argsort(self.key[begin:end])
+            self.key[begin:end] = self.key[begin:end][order]
+            self.n[:, begin:end] = self.n[:, begin:end][:, order]
 
     def count(self, key: np.ndarray, n: np.ndarray) -> None:
         """Writes the counts of keys (in order) to n (2, keys); of unknown ones nothing."""
@@ -225,35 +234,34 @@ class Pairs:
                 n[:, i] = self.large[int(key[i])]
 
 
-def _read(path: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
+def _files(path: str) -> list[pq.ParquetFile]:
     store, at = fs.FileSystem.from_uri(path)
-    yield from ds.dataset(at, filesystem=store, format="parquet").to_batches(columns=columns, batch_size=1 << 18, batch_readahead=2, fragment_readahead=1)
+    found = [f.path for f in store.get_file_info(fs.FileSelector(at)) if f.path.endswith(".parquet")]
+    return [pq.ParquetFile(store.open_input_file(f)) for f in sorted(found)]
 
 
-@lru_cache(maxsize=1)
-def _lexicon(path: str, shown: bytes) -> Lexicon:
-    import pickle
+def _rows(path: str) -> int:
+    return sum(f.metadata.num_rows for f in _files(path))
 
-    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(1 + len(COUNTS))] for b in _read(f"{path}/words", ["w", *COUNTS])]
-    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    return Lexicon(dict(zip(("w", *COUNTS), [columns[0].view(np.uint64), *columns[1:]], strict=True)), pickle.loads(shown))
 
+def _read(path: str, columns: list[str]) -> Iterator[list[np.ndarray]]:
+    for file in _files(path):
+        for batch in file.iter_batches(1 << 17, columns=columns, use_threads=False):
+            yield [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
 
-def lexicon(model: Model) -> Lexicon:
-    """Read once by each worker."""
-    import pickle
 
-    return _lexicon(model.path, pickle.dumps(Model(model.path, model.pages, model.pair_discounts, model.word_discounts, model.vocabulary)))
+@lru_cache(maxsize=1)
+def _lexicon(path: str, model: bytes) -> Lexicon:
+    return Lexicon(f"{path}/words", pickle.loads(model))
 
 
-@lru_cache(maxsize=1)
-def _page(path: str) -> Pairs:
-    def parts():
-        for b in _read(path, ["a", "b", "n0", "n1"]):
-            a, b, n0, n1 = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            yield mixed(a.view(np.uint64), b.view(np.uint64)), n0, n1
+def lexicon(model: Model) -> Lexicon:
+    """Read once by each worker."""
+    return _lexicon(model.path, pickle.dumps(replace(model, weights=None)))
+
 
-    return Pairs(parts())
+#: One page is held by each worker.
+_page = lru_cache(maxsize=1)(Pairs)
 
 
 def page_pairs(model: Model, page: int) -> Pairs:
@@ -289,12 +297,16 @@ def count(marked: DataFrame) -> Model:
     before = [x for n in ("n0", "n1") for x in (F.col(n).cast("long"), is_(F.col(n) == 1), is_(F.col(n) == 2), is_(F.col(n) > 2))]
     ends = pairs.select(F.col("b").alias("w"), *after, *[none] * 8).union(pairs.select("a", *[none] * 3, *before)).toDF("w", *COUNTS)
     ends.groupBy("w").agg(*[F.sum(c).alias(c) for c in COUNTS]).write.parquet(f"{path}/words")
-    told = spark.read.parquet(f"{path}/words").agg(F.count_if(F.col("c") > 0).alias("n"), *[x for c in ("c", "c0", "c1") for x in times(c, (1, 2, 3, 4))]).first()
+    kinds = ("c", "c0", "c1")
+    more = [x for c in kinds for x in (*times(c, (1, 2, 3, 4)), F.sum(c).alias(f"{c}_sum"), F.count_if(F.col(c) > 2).alias(f"{c}_more"))]
+    told = spark.read.parquet(f"{path}/words").agg(F.count_if(F.col("c") > 0).alias("n"), *more).first()
     pages = -(-seen["n"] // PAGE)
     if pages > 1:
         pairs.withColumn("page", F.pmod(F.xxhash64("a", "b"), F.lit(pages)).cast("int")).write.partitionBy("page").parquet(f"{path}/pairs")
     of = lambda row, c: discounts({k: row[f"{c}_{k}"] for k in (1, 2, 3, 4)})
-    return Model(path, pages, [of(seen, c) for c in ("n0", "n1")], [of(told, c) for c in ("c", "c0", "c1")], told["n"])
+    ds, totals = [of(told, c) for c in kinds], [told[f"{c}_sum"] for c in kinds]
+    left = [(d[1] * told[f"{c}_1"] + d[2] * told[f"{c}_2"] + d[3] * told[f"{c}_more"]) / t if t else 1.0 for c, d, t in zip(kinds, ds, totals, strict=True)]
+    return Model(path, pages, [of(seen, c) for c in ("n0", "n1")], ds, totals, left, told["n"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
