@@ -27,8 +27,10 @@ BLOCK, SLICES = 8192, 7
 #: Queries that are sent to the executors at a time.
 PAGE = 4096
 K = 10
-#: Larger integers take no part: scores of theirs need not fit a long.
-LARGEST = 1 << 24
+#: Vectors with larger integers have blocks of their own, so that they don't coarsen the slices of others.
+WIDE = 1 << 24
+#: Integers of this size and more leave a long when they are scaled: such vectors take no part.
+LARGEST = 1 << 62
 
 
 def integers(vector) -> np.ndarray | None:
@@ -36,7 +38,7 @@ def integers(vector) -> np.ndarray | None:
     if vector is None or len(vector) == 0 or any(x is None for x in vector):
         return None
     x = np.asarray(vector, np.float64)
-    if not np.isfinite(x).all() or (np.abs(x := np.floor(SCALE * x)) > LARGEST).any():
+    if not np.isfinite(x).all() or (np.abs(x := np.floor(SCALE * x)) >= LARGEST).any():
         return None
     return x.astype(np.int64)
 
@@ -66,16 +68,19 @@ class Block:
         return np.packbits(bits, axis=2, bitorder="little").view(np.uint64)
 
     def top(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(vec_ids, scores) of the k best rows but the query's own, ties to the smaller vec_id."""
+        """(vec_ids, scores) of the k best rows but the query's own, ties to the smaller vec_id; scores beyond a long are left out."""
         words = self.slices.shape[2]
         mine = np.zeros(words * 64, np.uint8)
         mine[: len(self.vec_ids)] = self.vec_ids != query_id
         taking = np.packbits(mine, bitorder="little").view(np.uint64)
         if not (k := min(k, int(mine.sum()))):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        size = sum(map(abs, query.tolist()))
+        if size * max(abs(int(self.values.max())), abs(int(self.values.min()))) >= 1 << 62:
+            return self._top_of_large(query, query_id, k)
         total = added(self.slices, query)
         # low parts lie between 0 and 2 ** shift - 1: so far two scores of one sliced sum may differ
-        slack = -(-((1 << self.shift) - 1) * int(np.abs(query).sum()) >> self.shift) if self.shift else 0
+        slack = -(-((1 << self.shift) - 1) * size >> self.shift) if self.shift else 0
         near = at_least(total, kth_largest(total, taking, k) - slack, taking)
         rows = np.nonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))[0]
         scores, ids = self.values[rows].astype(np.int64) @ query, self.vec_ids[rows]
@@ -83,6 +88,14 @@ class Block:
         return ids[best], scores[best]
 
 
+    def _top_of_large(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """top() of whole integers, where sums might leave a long."""
+        rows = np.nonzero(self.vec_ids != query_id)[0]
+        scores = self.values[rows].astype(object) @ query.astype(object)
+        best = sorted((-s, i) for s, i in zip(scores.tolist(), self.vec_ids[rows].tolist(), strict=True) if -(1 << 63) <= s < 1 << 63)[:k]
+        return np.array([i for _, i in best], np.int64), np.array([-s for s, _ in best], np.int64)
+
+
 def added(slices: np.ndarray, query: np.ndarray) -> list[np.ndarray]:
     """Slices, least significant first, of the sum over components of |q| times the component's part, or its complement
     where q is negative."""
@@ -147,12 +160,12 @@ _INDEX = "length int, n int, shift int, least long, width string, vec_ids binary
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    waiting: dict[int, list[tuple[int, np.ndarray]]] = {}
+    waiting: dict[tuple[int, bool], list[tuple[int, np.ndarray]]] = {}
 
-    def block(length: int) -> pa.RecordBatch:
-        rows = waiting.pop(length)
+    def block(kind: tuple[int, bool]) -> pa.RecordBatch:
+        rows, length = waiting.pop(kind), kind[0]
         b = Block.of(np.array([r[0] for r in rows], np.int64), np.stack([r[1] for r in rows]))
-        width = "<i2" if np.abs(b.values).max() < 1 << 15 else "<i4"
+        width = next(f"<i{n}" for n in (2, 4, 8) if np.abs(b.values).max() < 1 << 8 * n - 1)
         told = (length, len(rows), b.shift, b.least, width, b.vec_ids.tobytes(), b.values.astype(width).tobytes(), b.slices.tobytes())
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary())
         names = [c.split()[0] for c in _INDEX.split(", ")]
@@ -161,18 +174,19 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if vec_id is not None and (x := integers(vector)) is not None:
-                waiting.setdefault(len(x), []).append((vec_id, x))
-                if len(waiting[len(x)]) == BLOCK:
-                    yield block(len(x))
-    for length in list(waiting):
-        yield block(length)
+                kind = len(x), bool((np.abs(x) > WIDE).any())
+                waiting.setdefault(kind, []).append((vec_id, x))
+                if len(waiting[kind]) == BLOCK:
+                    yield block(kind)
+    for kind in list(waiting):
+        yield block(kind)
 
 
 def index(vectors: DataFrame) -> DataFrame:
     """vectors (vec_id, embedding) -> the bit-sliced index, one row a block, written to the shared folder.
 
     Takes every row but those whose vec_id is null or whose vector is null, empty, holds null or non-finite components
-    or integers beyond LARGEST. Vectors of different lengths go to different blocks.
+    or integers of LARGEST and more. Vectors of different lengths go to different blocks.
     """
     return written(vectors.select("vec_id", "embedding").mapInArrow(_index, _INDEX), "slices")
 
@@ -209,6 +223,7 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score by search() over all of embeddings. Empty table: no rows."""
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return search(index(vectors), vectors.where("vec_id % 100 = 0"))
 

@@ -120,6 +120,21 @@ def test_topk_against_a_full_scan(spark):
     assert topk.search(topk.index(df.limit(0)), df.limit(0)).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    rng = np.random.default_rng(6)
+    sizes = (0.1, 20_000.0, 1e6, 1e9, 1e14)
+    vectors = [(i, [float(x) for x in rng.normal(0, sizes[i % 5], 4)]) for i in range(400)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(2)
+    got = sorted(tuple(r) for r in topk.search(topk.index(df), df.where("vec_id % 100 = 0 OR vec_id % 100 = 51"), 10).collect())
+    whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in vectors]
+    want = []
+    for q, x in whole:
+        if q % 100 in (0, 51):
+            scored = sorted((-s, i) for i, v in whole if i != q and -(2**63) <= (s := sum(a * b for a, b in zip(x, v))) < 2**63)
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:10], 1)]
+    assert got == sorted(want)
+
+
 def test_slices():
     rng = np.random.default_rng(5)
     for rows, length, spread in ((1, 1, 1), (63, 3, 5), (64, 5, 100), (130, 64, 600), (200, 4, 0)):
