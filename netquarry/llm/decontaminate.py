@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import bounded, shielded, table, written
 
 WORD = re.compile(r"[^\W_]+")
 #: Words of a shingle, and the share of an item's shingles that makes a document contaminated.
@@ -37,6 +37,8 @@ K1, B, THRESHOLD = 1.2, 0.75, 0.45
 BLOCK = 32
 #: Most items that are broadcast at a time; a larger benchmark takes several passes over the documents.
 ITEMS = 20_000
+#: And most bytes of their texts.
+AT_ONCE = 32 << 20
 #: The last sentence or line of an item is its answer, the rest its question.
 ANSWER = re.compile(r"(?<=[.?!:])\s+(?=\S)|\n+(?=.*\w)")
 
@@ -185,29 +187,33 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(got, pa.string())], ["word"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS) -> DataFrame:
-    """docs (doc_id, text), benchmark (item_id, text) -> doc_id, item_id, n_shingles, n_shared, question, answer.
-
-    One row for each pair of a doc_id and an item that one of its texts holds; rows of one doc_id with several texts
-    give the largest overlap. Null or empty texts hold nothing and are held by nothing; null ids are kept as they are.
-    Repeated rows and ties change nothing. The benchmark is indexed items_at_once items at a time.
-    """
-    spark = docs.sparkSession
+def indexes(spark: SparkSession, benchmark: DataFrame, items_at_once: int = ITEMS) -> Iterator:
+    """Broadcast indexes of the benchmark's items, about items_at_once items and AT_ONCE bytes of them in each."""
     known = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct()
-    size = known.count()
-    out = None
+    told = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     # in how many items each word occurs, over the whole benchmark
     frequency = written(known.select("text").mapInArrow(_distinct_words, "word string").groupBy("word").agg(F.count("*").alias("n")), "words")
-    pieces = max(1, -(-size // items_at_once))
+    pieces = max(1, -(-told["n"] // items_at_once), -(-told["bytes"] // AT_ONCE))
     for piece in range(pieces):
         part = known if pieces == 1 else known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(pieces)) == piece)
         rows = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=str)  # about items_at_once rows
         own = part.select("text").mapInArrow(_distinct_words, "word string").distinct()
         counts = frequency.join(own, "word", "left_semi").toPandas()  # the words of those items
-        index = spark.sparkContext.broadcast(build(rows, dict(zip(counts["word"], counts["n"].tolist(), strict=True)), size))
+        yield spark.sparkContext.broadcast(build(rows, dict(zip(counts["word"], counts["n"].tolist(), strict=True)), told["n"]))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS) -> DataFrame:
+    """docs (doc_id, text), benchmark (item_id, text) -> doc_id, item_id, n_shingles, n_shared, question, answer.
+
+    One row for each pair of a doc_id and an item that one of its texts holds; rows of one doc_id with several texts
+    give the largest overlap. Null or empty texts hold nothing and are held by nothing; null ids are kept as they are.
+    Repeated rows and ties change nothing. The benchmark is indexed items_at_once items at a time.
+    """
+    out = None
+    for index in indexes(docs.sparkSession, benchmark, items_at_once):
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in bounded(batches, 1):
                 texts = batch.column(1).to_pylist()
                 found = [(i, *x) for i, text in enumerate(texts) for x in index.value.contaminations(text)]
                 columns = [batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))]
@@ -223,16 +229,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITE
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS) -> DataFrame:
+    """The rows of docs (text, any more columns) whose text holds no item: decided by row, whatever its ids, without a
+    shuffle. Null and empty texts stay."""
+    at = docs.columns.index("text")
+    for index in indexes(docs.sparkSession, benchmark, items_at_once):
+
+        def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in bounded(batches, at):
+                yield batch.filter(pa.array([not index.value.contaminations(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, n_shingles, n_shared of contaminated(), over all documents and items. Empty tables: no rows."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     found = contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
     return found.select("doc_id", "item_id", "n_shingles", "n_shared")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    """Pipeline stage: the rows of documents whose text holds a benchmark item go; each row is judged by its own text, so that null
+    and repeated ids make no difference. No rows: none. All columns stay."""
+    inner, restored = shielded(docs, "doc_id", "text")
+    return restored(clean(inner, table(spark, sf_dir, "benchmark", "item_id", "text")))
 
 
 _SHINGLES = """

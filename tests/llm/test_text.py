@@ -445,3 +445,11 @@ def test_first_stage_with_clashing_columns(spark, tmp_path):
     odd = frame(spark).withColumn("toxic_score", F.lit(6))
     kept = toxicity.drop_toxic(spark, odd, tables(spark, tmp_path, labels=none))
     assert kept.columns == odd.columns and kept.count() == len(ODD)
+
+
+def test_drop_contaminated_decides_by_row(spark, tmp_path):
+    item = text(40, 5)
+    d = tables(spark, tmp_path, benchmark=spark.createDataFrame([(1, item)], "item_id long, text string"))
+    rows = [(None, item), (3, "a clean text of a few words"), (3, "x " + item + " y"), (None, "another clean text"), (4, None), (4, "")]
+    kept = decontaminate.drop_contaminated(spark, frame(spark, rows), d).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([rows[1], *rows[3:]], key=str)
