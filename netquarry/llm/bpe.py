@@ -15,7 +15,6 @@ import hashlib
 import json
 from array import array
 from collections.abc import Iterator
-from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -25,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, table
+from .common import bounded, held, table
 from .runs import Runs
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -163,10 +162,9 @@ class Encoder(dict):
         return b"".join(map(self.bytes.__getitem__, known.tolist())).decode("utf-8", "replace")
 
 
-@cache
 def encoder(path: str = VOCABULARY) -> Encoder:
     """One for each worker and file."""
-    return Encoder(path)
+    return held(("bpe", path), "encoder", lambda: Encoder(path))
 
 
 def encoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:

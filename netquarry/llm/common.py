@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,6 +31,23 @@ def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = AT_ONCE)
                 break
 
 
+_HELD: dict = {}
+
+
+def held(of: tuple, key, make: Callable):
+    """make(), remembered by the Python worker as long as it is asked for things of the same kind: those of others, models and
+    vocabularies of earlier jobs, go before anything new is made."""
+    if _HELD.get("of") != of:
+        _HELD.clear()
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+        _HELD["of"] = of
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

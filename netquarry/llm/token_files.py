@@ -24,7 +24,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import cache
 from itertools import pairwise
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, shared_path, table
+from .common import bounded, held, shared_path, table
 from .runs import Runs
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -152,10 +151,9 @@ class Library:
         return [self.encode(" " + r) if b is None else b for r, b in zip(runs, out, strict=True)]
 
 
-@cache
 def library(path: str = VOCABULARY) -> Library:
     """One for each worker and file."""
-    return Library(path)
+    return held(("library", path), "library", lambda: Library(path))
 
 
 def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END) -> None:

@@ -18,11 +18,9 @@ both). A logistic curve, fitted on a fold that the counts haven't seen, turns bo
 
 from __future__ import annotations
 
-import pickle
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
-from functools import lru_cache
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded, shared_path, shielded, table
+from .common import bounded, held, shared_path, shielded, table
 
 WORD = re.compile(r"[^\W_]+")
 FOLDS = 5
@@ -44,7 +42,7 @@ BROADCAST_ROWS = 2_000_000
 #: Pairs of a page of the model.
 PAGE = 16_000_000
 #: Bytes of text that are counted or scored together.
-TEXT = 4 << 20
+TEXT = 2 << 20
 #: What stands before a text's first word.
 START = ""
 #: Columns of the words' table: continuation counts over both classes and by class; by class the tokens after the
@@ -250,23 +248,15 @@ def _read(path: str, columns: list[str]) -> Iterator[list[np.ndarray]]:
             yield [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
 
 
-@lru_cache(maxsize=1)
-def _lexicon(path: str, model: bytes) -> Lexicon:
-    return Lexicon(f"{path}/words", pickle.loads(model))
-
-
 def lexicon(model: Model) -> Lexicon:
     """Read once by each worker."""
-    return _lexicon(model.path, pickle.dumps(replace(model, weights=None)))
-
-
-#: One page is held by each worker.
-_page = lru_cache(maxsize=1)(Pairs)
+    return held(("toxicity", model.path), "words", lambda: Lexicon(f"{model.path}/words", model))
 
 
 def page_pairs(model: Model, page: int) -> Pairs:
-    """One page is held by each worker."""
-    return _page(f"{model.path}/all" if model.pages == 1 else f"{model.path}/pairs/page={page}")
+    """One page is held by each worker, and read anew if there are several."""
+    path = f"{model.path}/all" if model.pages == 1 else f"{model.path}/pairs/page={page}"
+    return held(("toxicity", model.path), "pairs", lambda: Pairs(path)) if model.pages == 1 else Pairs(path)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
