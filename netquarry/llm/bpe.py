@@ -172,7 +172,7 @@ def encoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path).runs
-        for batch in bounded(batches, 1):
+        for batch in bounded(batches, 1, holding=True):
             ids, ends = own.encode(batch.column(1))
             ends = np.concatenate([[0], ends]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -197,7 +197,7 @@ def decoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 def _round_trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = encoder()
-    for batch in bounded(batches, 1):
+    for batch in bounded(batches, 1, holding=True):
         ids, ends = own.runs.encode(batch.column(1))
         n, ids_digest, text_digest = np.diff(ends, prepend=0), [], []
         for x in np.split(ids, ends[:-1]) if len(ends) else []:

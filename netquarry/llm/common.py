@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 AT_ONCE = 8 << 20
 
 
-def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices whose strings of that column have at most that many bytes, or one row; empty ones stay."""
+def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = AT_ONCE, holding: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices whose strings of that column have at most that many bytes, or one row; empty ones stay.
+    What the worker holds of earlier jobs goes, unless this one says that it holds something itself."""
+    if not holding:
+        released()
     for batch in batches:
         strings, begin = batch.column(column), 0
         kind = np.int64 if pa.types.is_large_string(strings.type) or pa.types.is_large_binary(strings.type) else np.int32
@@ -34,14 +37,20 @@ def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = AT_ONCE)
 _HELD: dict = {}
 
 
-def held(of: tuple, key, make: Callable):
-    """make(), remembered by the Python worker as long as it is asked for things of the same kind: those of others, models and
-    vocabularies of earlier jobs, go before anything new is made."""
-    if _HELD.get("of") != of:
+def released() -> None:
+    """Gives back the memory of what is held."""
+    if _HELD:
         _HELD.clear()
         gc.collect()
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
             trim(0)
+
+
+def held(of: tuple, key, make: Callable):
+    """make(), remembered by the Python worker as long as it is asked for things of the same kind: those of others, models and
+    vocabularies of earlier jobs, go before anything new is made."""
+    if _HELD.get("of") != of:
+        released()
         _HELD["of"] = of
     if key not in _HELD:
         _HELD[key] = make()

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import bounded, table, written
 
 #: Weight of the markup's word (0 noise, 1 content, 1/2 none) against the style tree's, and the importance to stay.
 PRIOR_WEIGHT, STAY = 0.6, 0.5
@@ -259,7 +259,7 @@ def _long(x: int) -> int:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in bounded(batches, 1):
         counts: Counter = Counter()
         for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             page, host = Page(html), host_of(url)
@@ -316,7 +316,7 @@ def _runs(column: int, url: int, names: list[str]):
     kind = pa.list_(pa.struct([("block", pa.int32()), ("node", pa.int64()), ("content", pa.bool_()), ("text", pa.string())]))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, column):
             hosts = pa.array([host_of(u) for u in batch.column(url).to_pylist()], pa.string())
             runs = [
                 [{"block": f, "node": _long(n), "content": p == CONTENT, "text": t} for f, n, p, t in Page(html).kept()]

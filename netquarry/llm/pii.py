@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import shielded, table, written
+from .common import bounded, shielded, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Turns of the scoring; confidence and distinct instances from which a pattern counts.
@@ -149,7 +149,7 @@ def _scan(column: int, names: list[str]):
         import uuid
 
         task, n = uuid.uuid4().hex, 0  # the result is written once, so a row's name may be random
-        for batch in batches:
+        for batch in bounded(batches, column):
             rows, base, found = [], [], []
             for text in batch.column(column).to_pylist():
                 text = text or ""

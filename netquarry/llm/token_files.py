@@ -174,7 +174,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
         store, at = fs.FileSystem.from_uri(path)
         name, out = f"shard-{number:06d}-{uuid.uuid4().hex}.ids", None
         lengths, doc_ids, nulls = array("q"), array("q"), 0
-        for batch in bounded(batches, 1, TEXT):
+        for batch in bounded(batches, 1, TEXT, holding=True):
             if not len(batch):
                 continue
             if out is None:

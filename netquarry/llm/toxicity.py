@@ -190,46 +190,58 @@ class Lexicon:
 
 
 class Pairs:
-    """A page of the pairs' table: hashes in order and counts by class, those from FULL on apart. It is read twice, so that
-    each row goes where its highest bits belong, and only rows that share these are sorted at a time."""
+    """A page of the pairs' table: buckets by the TOP highest bits of a pair's hash, in each the next 32 bits in order, and the
+    counts by class, those from FULL on apart. These 52 bits take an unseen pair for one of 16 million seen ones once in
+    280 million. The table is read twice, so that each row goes to its bucket at once."""
 
-    FULL, TOP = 255, 8
+    FULL, TOP = 255, 20
 
     def __init__(self, path: str):
-        top = lambda key: (key >> np.uint64(64 - self.TOP)).astype(np.int64)
         sizes = np.zeros(1 << self.TOP, np.int64)
         for a, b in _read(path, ["a", "b"]):
-            sizes += np.bincount(top(mixed(a.view(np.uint64), b.view(np.uint64))), minlength=len(sizes))
-        ends = np.cumsum(sizes)
-        free = ends - sizes
-        self.key, self.n, self.large = np.empty(int(ends[-1]), np.uint64), np.empty((2, int(ends[-1])), np.uint8), {}
+            sizes += np.bincount(self._cut(mixed(a.view(np.uint64), b.view(np.uint64)))[0], minlength=len(sizes))
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        free = self.starts[:-1].copy()
+        self.rest, self.n, self.large = np.empty(int(self.starts[-1]), np.uint32), np.empty((2, int(self.starts[-1])), np.uint8), {}
         for a, b, *n in _read(path, ["a", "b", "n0", "n1"]):
             key = mixed(a.view(np.uint64), b.view(np.uint64))
-            of = top(key)
-            order = np.argsort(of, kind="stable")
-            counts = np.bincount(of, minlength=len(sizes))
-            at = np.repeat(free - (np.cumsum(counts) - counts), counts) + np.arange(len(key))
+            top, rest = self._cut(key)
+            order = np.argsort(top, kind="stable")
+            counts = np.bincount(top, minlength=len(sizes))
+            own = top[order]
+            at = (free - (np.cumsum(counts) - counts))[own] + np.arange(len(key))
             free += counts
-            self.key[at] = key[order]
+            self.rest[at] = rest[order]
             for c in (0, 1):
                 self.n[c, at] = np.minimum(n[c], self.FULL)[order]
             for i in np.nonzero(np.maximum(*n) >= self.FULL)[0].tolist():
-                self.large[int(key[i])] = int(n[0][i]), int(n[1][i])
-        for begin, end in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
-            order = np.argsort(self.key[begin:end])
-            self.key[begin:end] = self.key[begin:end][order]
+                self.large[int(top[i]), int(rest[i])] = int(n[0][i]), int(n[1][i])
+        for first in range(0, len(sizes), step := 1 << 14):
+            begin, end = int(self.starts[first]), int(self.starts[first + step])
+            order = np.lexsort((self.rest[begin:end], np.repeat(np.arange(step), sizes[first : first + step])))
+            self.rest[begin:end] = self.rest[begin:end][order]
             self.n[:, begin:end] = self.n[:, begin:end][:, order]
 
+    def _cut(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket of each hash, the bits after it)."""
+        return (key >> np.uint64(64 - self.TOP)).astype(np.int64), (key >> np.uint64(32 - self.TOP)).astype(np.uint32)
+
     def count(self, key: np.ndarray, n: np.ndarray) -> None:
-        """Writes the counts of keys (in order) to n (2, keys); of unknown ones nothing."""
-        if not len(self.key):
+        """Writes the counts of pairs' hashes to n (2, hashes); of unknown ones nothing."""
+        if not len(self.rest):
             return
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        hit = np.nonzero(self.key[at] == key)[0]
-        n[:, hit] = self.n[:, at[hit]]
+        top, rest = self._cut(key)
+        low, high = self.starts[top], self.starts[top + 1]
+        end = high
+        while (open_ := low < high).any():  # all searches at once
+            mid = (low + high) >> 1
+            less = open_ & (self.rest[np.minimum(mid, len(self.rest) - 1)] < rest)
+            low, high = np.where(less, mid + 1, low), np.where(open_ & ~less, mid, high)
+        hit = np.nonzero((low < end) & (self.rest[np.minimum(low, len(self.rest) - 1)] == rest))[0]
+        n[:, hit] = self.n[:, low[hit]]
         if self.large:
             for i in hit[(n[:, hit] == self.FULL).any(0)].tolist():
-                n[:, i] = self.large[int(key[i])]
+                n[:, i] = self.large[int(top[i]), int(rest[i])]
 
 
 def _files(path: str) -> list[pq.ParquetFile]:
@@ -320,7 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         shared = spark.sparkContext.broadcast(model)
 
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in bounded(batches, 0, TEXT):
+            for batch in bounded(batches, 0, TEXT, holding=True):
                 f = shared.value.features(batch.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1]), batch.column(1)], ["mean", "top", "toxic"])
 
@@ -343,7 +355,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, at, TEXT):
+        for batch in bounded(batches, at, TEXT, holding=True):
             yield batch.append_column("toxic_score", pa.array(shared.value.score(batch.column(at).to_pylist()), pa.float64()))
 
     schema = StructType([*docs.schema.fields, StructField("toxic_score", DoubleType())])
