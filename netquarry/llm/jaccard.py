@@ -31,8 +31,10 @@ SHINGLE = 5
 OVER, UNDER = 4, 5
 #: Turns of pivots before all pairs, pivots of a shingle in each, and how many of them are those with most links; texts of the sample that gives the order, how often a
 #: shingle is common, and most of these.
-TURNS, PIVOTS, CENTRAL = 3, 3, 2
+TURNS, PIVOTS, CENTRAL = 2, 2, 1
 SAMPLE, COMMON, MOST = 10_000, 4, 500_000
+#: 64-bit words of the bitmap that spares the shuffle of shingles that one text alone has.
+SLOTS = 1 << 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -80,7 +82,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "own"])
 
 
-def _keyed(shared):
+def _keyed(shared, marks=None):
+    """Rows of key, node, n, at; with marks (a bitmap) only those whose key is marked."""
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
         for part in bounded(batches, 1):
@@ -91,6 +95,9 @@ def _keyed(shared):
                 np.concatenate([*firsts, np.zeros(0, np.int64)]), np.repeat(part.column(0).to_numpy(zero_copy_only=False), n),
                 np.repeat([len(s) for s in sets], n).astype(np.int32), np.concatenate([*map(np.arange, n), np.zeros(0)]).astype(np.int32),
             )
+            if marks is not None:
+                kept = marks.value[(columns[0] >> 6) & (SLOTS - 1)] >> (columns[0] & 63).astype(np.uint64) & np.uint64(1) == 1
+                columns = tuple(c[kept] for c in columns)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "at"])
 
     return keyed
@@ -127,10 +134,26 @@ def _turn(members: DataFrame, edges: DataFrame, used: DataFrame, turn: int) -> t
     apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     left = written(rooted.join(apart, "key", "left_semi"), "members")
     least = []
-    for i in range(PIVOTS):
-        order = [F.when(F.lit(i < CENTRAL), -F.col("links")).alias("o"), F.xxhash64("node", F.lit(turn * PIVOTS + i)).alias("h")]
-        least.append(F.min(F.struct(*order, *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "at", "root")])))
-    return left, left.groupBy("key").agg(F.array_distinct(F.transform(F.array(*least), lambda p: p.dropFields("o", "h"))).alias("pivots"))
+    for i in range(PIVOTS):  # nodes are hashes: their own order, turned by each turn, is random
+        order = [(-F.col("links")).alias("o")] if i < CENTRAL else []
+        mine = F.col("node").bitwiseXOR(F.xxhash64(F.lit(turn * PIVOTS + i))).alias("h")
+        least.append(F.min(F.struct(*order, mine, *[F.col(c).alias(f"p_{c}") for c in ("node", "place", "root")])))
+    chosen = F.array(*[F.struct(*[F.col(f"p{i}.p_{c}") for c in ("node", "place", "root")]) for i in range(PIVOTS)])
+    return left, left.withColumn("place", _place()).groupBy("key").agg(*[x.alias(f"p{i}") for i, x in enumerate(least)]).select("key", F.array_distinct(chosen).alias("pivots"))
+
+
+def _place():
+    """A text's size and the shingle's place in its prefix, as one number."""
+    return F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
+
+
+def _marks(keys: DataFrame) -> np.ndarray:
+    """A bitmap of 64 SLOTS bits with those of the keys: whatever their number, its size is the same."""
+    word = F.expr(f"int(shiftright(key, 6) & {SLOTS - 1}L)").alias("word")
+    told = keys.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, int(key & 63L))")).alias("bits")).toPandas()  # SLOTS rows at most
+    out = np.zeros(SLOTS, np.uint64)
+    out[told["word"].to_numpy(np.int64)] = told["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
 
 
 def groups(texts: DataFrame, links: DataFrame) -> DataFrame:
@@ -144,14 +167,19 @@ def groups(texts: DataFrame, links: DataFrame) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast((common["s"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
     tried = written(links.select("a", "b").where("a <> b").distinct(), "pairs")
     edges = written(_similar(texts, tried), "links")
-    members = written(texts.mapInArrow(_keyed(shared), "key long, node long, n int, at int"), "keys")
+    kept = "key long, node long, n int, at int"
+    several = texts.mapInArrow(_keyed(shared), kept).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    several = written(several, "several")
+    marks = texts.sparkSession.sparkContext.broadcast(_marks(several))
+    members = written(texts.mapInArrow(_keyed(shared, marks), kept).join(several, "key", "left_semi"), "keys")
     used = texts.select("node").limit(0)
     for turn in range(TURNS + 1):
         members, pivots = _turn(members, edges, used, turn)
         if turn < TURNS:
             pivots = written(pivots, "pivots")
             used = used.union(pivots.select(F.explode("pivots.p_node").alias("node")))
-            found = members.join(pivots.select("key", F.inline("pivots")), "key").where("root <> p_root")
+            asked = pivots.select("key", F.inline("pivots")).withColumns({"p_n": F.expr("int(shiftright(p_place, 32))"), "p_at": F.expr("int(p_place & 4294967295L)")})
+            found = members.join(asked, "key").where("root <> p_root")
         else:
             other = members.select("key", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "at", "root")])
             found = members.join(other, "key").where("root <> p_root AND node < p_node")
