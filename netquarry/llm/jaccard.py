@@ -34,7 +34,7 @@ OVER, UNDER = 4, 5
 TURNS, PIVOTS, CENTRAL = 2, 2, 1
 SAMPLE, COMMON, MOST = 10_000, 4, 500_000
 #: 64-bit words of the bitmap that spares the shuffle of shingles that one text alone has.
-SLOTS = 1 << 20
+SLOTS = 1 << 17
 
 
 def words(text: str | None) -> list[bytes]:
