@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluating, flows, modelling, prepare, profiling
+from . import evaluating, flows, modelling, prepare, profiling, reporting
 from .common import counts_as_bigint
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (prepare, profiling, evaluating, flows, modelling)
+_MODULES = (prepare, profiling, evaluating, flows, modelling, reporting)
 
 
 def queries() -> dict[str, Query]:
