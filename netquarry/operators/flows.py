@@ -23,11 +23,14 @@ def sessions(df: DataFrame, key: str, time: str, order: str, idle: int, active:
     its first packet).
 
     Idle gaps are found by a window and cut a key into runs; the restart of the other two rules depends on where a segment
-    began, so it is a left fold over each run alone, which neither an idle gap nor another key can lengthen.
+    began, so it is a left fold over each run alone, which neither an idle gap nor another key can lengthen. Every packet is
+    returned: those without a key are one key's, and repeated ones count each.
     """
     run = idle_sessions(df, key, time, order, idle).withColumnRenamed("session", "_run")
-    packets = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(order).alias("o"))))
-    seed = F.struct(F.lit(0).alias("s"), F.lit(None).cast("long").alias("first"), F.lit(0).alias("n"), F.array().cast("array<struct<o:bigint,s:int,why:string>>").alias("out"))
+    row = F.struct(F.col(time).alias("t"), F.col(order).alias("o"), F.struct(*df.columns).alias("row"))
+    # by time, then order; rows that are alike in both keep any order among themselves, and all are kept
+    packets = F.array_sort(F.collect_list(row), lambda x, y: F.when((x["t"] < y["t"]) | ((x["t"] == y["t"]) & (x["o"] < y["o"])), -1).when((x["t"] == y["t"]) & (x["o"] == y["o"]), 0).otherwise(1))
+    seed = F.struct(F.lit(0).alias("s"), F.lit(None).cast("long").alias("first"), F.lit(0).alias("n"), F.array().cast("array<struct<s:int,why:string>>").alias("out"))
 
     def fold(a: Column, p: Column) -> Column:
         why = F.when(a["first"].isNull(), F.lit(None).cast("string")).when(a["n"] >= size, "PACKET_LIMIT").when(p["t"] - a["first"] >= active, "ACTIVE_TIMEOUT")
@@ -35,19 +38,16 @@ def sessions(df: DataFrame, key: str, time: str, order: str, idle: int, active:
         s = a["s"] + new.cast("int")
         return F.struct(
             s.alias("s"), F.when(new, p["t"]).otherwise(a["first"]).alias("first"), F.when(new, 1).otherwise(a["n"] + 1).alias("n"),
-            F.concat(a["out"], F.array(F.struct(p["o"].cast("long").alias("o"), s.alias("s"), why.alias("why")))).alias("out"),
+            F.concat(a["out"], F.array(F.struct(s.alias("s"), why.alias("why")))).alias("out"),
         )
 
-    folded = run.groupBy(key, "_run").agg(F.aggregate(packets, seed, fold).alias("f"))
-    segments = folded.select(key, "_run", F.col("f.s").alias("_segments"), F.inline("f.out"))
-    before = folded.select(key, "_run", F.col("f.s").alias("_k"))
-    offset = F.coalesce(F.sum("_k").over(Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = before.select(key, "_run", offset.alias("_before"))
-    placed = segments.join(before, [key, "_run"]).select(
-        key, F.col("o").alias(order), (F.col("_before") + F.col("s")).cast("long").alias("session"),
-        F.coalesce("why", F.when((F.col("_run") > 1) & (F.col("s") == 1), F.lit("IDLE_TIMEOUT"))).alias("begun_by"),
+    runs = run.groupBy(key, "_run").agg(packets.alias("_packets")).withColumn("_f", F.aggregate("_packets", seed, fold))
+    before = F.coalesce(F.sum("_f.s").over(Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = runs.withColumn("_before", before).select("_run", "_before", F.inline(F.arrays_zip(F.col("_packets.row").alias("row"), F.col("_f.out").alias("out"))))
+    return placed.select(
+        *[F.col(f"row.{c}") for c in df.columns], (F.col("_before") + F.col("out.s")).cast("long").alias("session"),
+        F.coalesce("out.why", F.when((F.col("_run") > 1) & (F.col("out.s") == 1), F.lit("IDLE_TIMEOUT"))).alias("begun_by"),
     )
-    return df.join(placed, [key, order])
 
 
 def with_closure(flows: DataFrame, key: str, complete: bool = True) -> DataFrame:

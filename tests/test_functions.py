@@ -165,3 +165,24 @@ def test_gates(spark):
     assert not gates.admitted(checks.unionAll(spark.createDataFrame([("c", False)], checks.schema)), ["a", "b"]).first()[0]
     samples = spark.createDataFrame([("a", "1", "x", 0), ("b", "2", "x", 1), ("c", "2", "y", 1)], "i string, r string, s string, l int")
     assert dict(rows(gates.declared(samples, "i", "r", "s", "l"))) == {"identities_unique": True, "raw_unique": False, "both_classes": False}
+
+
+def test_sessions_keep_packets_without_key_and_repeated_ones(spark):
+    from netquarry.operators import flows
+
+    rows = [(None, 0, 1), (None, 5, 2), ("k", 0, 3), ("k", 0, 3), ("k", 1, 4), ("k", 50, 5), ("k", 51, 6), ("k", 52, 7), ("k", 53, 8)]
+    got = flows.sessions(spark.createDataFrame(rows, "k string, t long, o long"), "k", "t", "o", 10, 100, 3)
+    want = [(None, 0, 1, 1, None), (None, 5, 2, 1, None), ("k", 0, 3, 1, None), ("k", 0, 3, 1, None), ("k", 1, 4, 1, None)]
+    want += [("k", 50, 5, 2, "IDLE_TIMEOUT"), ("k", 51, 6, 2, "IDLE_TIMEOUT"), ("k", 52, 7, 2, "IDLE_TIMEOUT"), ("k", 53, 8, 3, "PACKET_LIMIT")]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_overlap_and_validation_fail_hard(spark):
+    from netquarry.operators import reports
+
+    a, b = spark.createDataFrame([(1, "x"), (2, None)], "i int, s string"), spark.createDataFrame([(2, "y"), (3, None)], "i int, s string")
+    with pytest.raises(ValueError, match="'i': 1"):
+        reports.required_apart(a, b, ["i", "s"])
+    reports.required_apart(a, b, ["s"])
+    with pytest.raises(ValueError, match=r"missing \['z'\], unexpected \['s'\]"):
+        reports.validated(a, ["i", "z"])
