@@ -74,12 +74,24 @@ def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarra
     return own[np.lexsort((own, often))][: len(own) - -(-OVER * len(own) // UNDER) + 1]
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in bounded(batches, 1):
-        sets = [shingles(t) for t in batch.column(1).to_pylist()]
-        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        flat = np.concatenate([*sets, np.zeros(0, np.int64)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "own"])
+def _marked(marks, keys: np.ndarray) -> np.ndarray:
+    """Which keys the bitmap has."""
+    return marks.value[(keys >> 6) & (SLOTS - 1)] >> (keys & 63).astype(np.uint64) & np.uint64(1) == 1
+
+
+def _sets(marks=None):
+    """Rows of node and own, its text's shingles; with marks (a bitmap) only of marked nodes."""
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, 1):
+            if marks is not None:
+                batch = batch.filter(pa.array(_marked(marks, batch.column(0).to_numpy(zero_copy_only=False))))
+            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            flat = np.concatenate([*sets, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "own"])
+
+    return sets_of
 
 
 def _keyed(shared, marks=None):
@@ -96,7 +108,7 @@ def _keyed(shared, marks=None):
                 np.repeat([len(s) for s in sets], n).astype(np.int32), np.concatenate([*map(np.arange, n), np.zeros(0)]).astype(np.int32),
             )
             if marks is not None:
-                kept = marks.value[(columns[0] >> 6) & (SLOTS - 1)] >> (columns[0] & 63).astype(np.uint64) & np.uint64(1) == 1
+                kept = _marked(marks, columns[0])
                 columns = tuple(c[kept] for c in columns)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "at"])
 
@@ -114,9 +126,10 @@ def _pairs(rows: DataFrame, other: str) -> DataFrame:
 
 
 def _similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of pairs (a, b) whose texts' sets have the similarity."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(texts.join(asked, "node", "left_semi").select("node", "text").mapInArrow(_sets, "node long, own array<long>"), "sets")
+    """The rows of pairs (a, b) whose texts' sets have the similarity. A bitmap picks the texts, which aren't shuffled; the joins
+    are exact."""
+    marks = texts.sparkSession.sparkContext.broadcast(_marks(pairs.select(F.explode(F.array("a", "b")).alias("key"))))
+    sets = written(texts.select("node", "text").mapInArrow(_sets(marks), "node long, own array<long>"), "sets")
     side = lambda c: sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.where(
@@ -161,7 +174,7 @@ def groups(texts: DataFrame, links: DataFrame) -> DataFrame:
     tried first) -> node, root of the texts similar to another, as components()."""
     texts = texts.select("node", "text")
     share = max(1, texts.count() // SAMPLE)
-    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).mapInArrow(_sets, "node long, own array<long>")
+    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).mapInArrow(_sets(), "node long, own array<long>")
     common = sample.select(F.explode("own").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     common = common.orderBy(F.desc("n"), "s").limit(MOST).toPandas().sort_values("s")  # the order of shingles only
     shared = texts.sparkSession.sparkContext.broadcast((common["s"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
