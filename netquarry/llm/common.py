@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker takes from Arrow at a time, if it isn't a single row's.
 AT_ONCE = 8 << 20
+#: Spark's setting by which the shuffle files of a query are deleted at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = AT_ONCE, holding: bool = False) -> Iterator[pa.RecordBatch]:
@@ -76,10 +78,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors. Shuffle files of the
+    write go when it has ended, not when the driver next collects its garbage."""
+    return kept(df, name)[0]
+
+
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """As written(), and a function that deletes the folder once nothing reads it any more."""
     spark = df.sparkSession
-    df.write.parquet(path := shared_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = shared_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), lambda: removed(spark, path)
 
 
 def removed(spark: SparkSession, path: str) -> None:

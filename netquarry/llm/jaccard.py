@@ -14,7 +14,7 @@ then. No pair between components is left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, written
+from .common import bounded, kept, written
 from .components import components
 
 SEED = 42
@@ -35,6 +35,9 @@ TURNS, PIVOTS, CENTRAL = 2, 2, 1
 SAMPLE, COMMON, MOST = 10_000, 4, 500_000
 #: 64-bit words of the bitmap that spares the shuffle of shingles that one text alone has.
 SLOTS = 1 << 17
+#: 64-bit words of a set's sketch, and the columns of sets.
+SKETCH = 32
+SETS = "node long, own array<long>, n int, bits array<long>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -79,8 +82,16 @@ def _marked(marks, keys: np.ndarray) -> np.ndarray:
     return marks.value[(keys >> 6) & (SLOTS - 1)] >> (keys & 63).astype(np.uint64) & np.uint64(1) == 1
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """SKETCH words (int64) with one bit set for each shingle of a set: a bit of one set's that another's lacks is a shingle
+    that the other set lacks."""
+    bits = np.zeros(SKETCH * 64, np.uint8)
+    bits[own & (SKETCH * 64 - 1)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def _sets(marks=None):
-    """Rows of node and own, its text's shingles; with marks (a bitmap) only of marked nodes."""
+    """Rows of node, own, its text's shingles, their number and their sketch; with marks (a bitmap) only of marked nodes."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 1):
@@ -89,7 +100,10 @@ def _sets(marks=None):
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate([*sets, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "own"])
+            bits = np.concatenate([*map(sketch, sets), np.zeros(0, np.int64)])
+            begins = np.arange(len(sets) + 1, dtype=np.int32) * SKETCH
+            lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(v)) for e, v in ((ends, flat), (begins, bits))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists[0], pa.array(np.diff(ends)), lists[1]], ["node", "own", "n", "bits"])
 
     return sets_of
 
@@ -126,33 +140,44 @@ def _pairs(rows: DataFrame, other: str) -> DataFrame:
 
 
 def _similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of pairs (a, b) whose texts' sets have the similarity. A bitmap picks the texts, which aren't shuffled; the joins
-    are exact."""
-    marks = texts.sparkSession.sparkContext.broadcast(_marks(pairs.select(F.explode(F.array("a", "b")).alias("key"))))
-    sets = written(texts.select("node", "text").mapInArrow(_sets(marks), "node long, own array<long>"), "sets")
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(
-        f"{OVER + UNDER} * size(array_intersect(own_a, own_b)) >= {OVER} * (size(own_a) + size(own_b))"
-    ).select("a", "b")
-
-
-def _turn(members: DataFrame, edges: DataFrame, used: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of pairs (a, b) whose texts' sets have the similarity, written. A bitmap picks the texts, which aren't shuffled; the
+    joins are exact. Sketches, an eighth of a usual set, come first: the shingles that one set surely lacks of the other bound
+    the intersection, and only sets of pairs that may still be similar are joined."""
+    marks = texts.sparkSession.sparkContext.broadcast(_marks(_ends(pairs)))
+    sets, drop = kept(texts.select("node", "text").mapInArrow(_sets(marks), SETS), "sets")
+    side = lambda c, *of: sets.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in of])
+    lacks = lambda x, y: f"aggregate(zip_with(bits_{x}, bits_{y}, (x, y) -> int(bit_count(x & ~y))), 0, (s, v) -> s + v)"
+    enough = f"{OVER + UNDER} * %s >= {OVER} * (n_a + n_b)"
+    met = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
+    maybe, done = kept(met.where(enough % f"least(n_a - {lacks('a', 'b')}, n_b - {lacks('b', 'a')})").select("a", "b"), "maybe")
+    sets = sets.join(_ends(maybe).select(F.col("key").alias("node")).distinct(), "node", "left_semi")
+    both = maybe.join(side("a", "n", "own"), "a").join(side("b", "n", "own"), "b")
+    out = written(both.where(enough % "size(array_intersect(own_a, own_b))").select("a", "b"), "links")
+    drop()
+    done()
+    return out
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("key"))
+
+
+def _turn(members: DataFrame, edges: DataFrame, used: DataFrame, turn: int) -> tuple[DataFrame, DataFrame, Callable[[], None]]:
     """(key, node, n, at, root of the members of keys whose texts are still in several components; those keys with
-    their pivots). Partial aggregates only: no key's members are gathered."""
+    their pivots; a function that deletes the former). Partial aggregates only: no key's members are gathered."""
     root = written(components(edges), "roots")
     links = edges.select(F.explode(F.array("a", "b")).alias("node")).join(used, "node", "left_anti").groupBy("node").agg(F.count("*").alias("links"))
     told = written(root.join(links, "node", "left"), "told")
     rooted = members.join(told, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    left = written(rooted.join(apart, "key", "left_semi"), "members")
+    left, drop = kept(rooted.join(apart, "key", "left_semi"), "members")
     least = []
     for i in range(PIVOTS):  # nodes are hashes: their own order, turned by each turn, is random
         order = [(-F.col("links")).alias("o")] if i < CENTRAL else []
         mine = F.col("node").bitwiseXOR(F.xxhash64(F.lit(turn * PIVOTS + i))).alias("h")
         least.append(F.min(F.struct(*order, mine, *[F.col(c).alias(f"p_{c}") for c in ("node", "place", "root")])))
     chosen = F.array(*[F.struct(*[F.col(f"p{i}.p_{c}") for c in ("node", "place", "root")]) for i in range(PIVOTS)])
-    return left, left.withColumn("place", _place()).groupBy("key").agg(*[x.alias(f"p{i}") for i, x in enumerate(least)]).select("key", F.array_distinct(chosen).alias("pivots"))
+    return left, left.withColumn("place", _place()).groupBy("key").agg(*[x.alias(f"p{i}") for i, x in enumerate(least)]).select("key", F.array_distinct(chosen).alias("pivots")), drop
 
 
 def _place():
@@ -174,20 +199,21 @@ def groups(texts: DataFrame, links: DataFrame) -> DataFrame:
     tried first) -> node, root of the texts similar to another, as components()."""
     texts = texts.select("node", "text")
     share = max(1, texts.count() // SAMPLE)
-    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).mapInArrow(_sets(), "node long, own array<long>")
+    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).mapInArrow(_sets(), SETS)
     common = sample.select(F.explode("own").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     common = common.orderBy(F.desc("n"), "s").limit(MOST).toPandas().sort_values("s")  # the order of shingles only
     shared = texts.sparkSession.sparkContext.broadcast((common["s"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
     tried = written(links.select("a", "b").where("a <> b").distinct(), "pairs")
-    edges = written(_similar(texts, tried), "links")
-    kept = "key long, node long, n int, at int"
-    several = texts.mapInArrow(_keyed(shared), kept).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    edges = _similar(texts, tried)
+    keyed = "key long, node long, n int, at int"
+    several = texts.mapInArrow(_keyed(shared), keyed).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     several = written(several, "several")
     marks = texts.sparkSession.sparkContext.broadcast(_marks(several))
-    members = written(texts.mapInArrow(_keyed(shared, marks), kept).join(several, "key", "left_semi"), "keys")
+    members, drop = kept(texts.mapInArrow(_keyed(shared, marks), keyed).join(several, "key", "left_semi"), "keys")
     used = texts.select("node").limit(0)
     for turn in range(TURNS + 1):
-        members, pivots = _turn(members, edges, used, turn)
+        before, (members, pivots, drop) = drop, _turn(members, edges, used, turn)
+        before()
         if turn < TURNS:
             pivots = written(pivots, "pivots")
             used = used.union(pivots.select(F.explode("pivots.p_node").alias("node")))
@@ -198,6 +224,7 @@ def groups(texts: DataFrame, links: DataFrame) -> DataFrame:
             found = members.join(other, "key").where("root <> p_root AND node < p_node")
         pairs = written(_pairs(found.where(_admitted("p_node", "p_n", "p_at")), "p_node").join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(pairs)
-        edges = edges.union(written(_similar(texts, pairs), "links"))
+        edges = edges.union(_similar(texts, pairs))
         members = members.drop("root", "links")
+    drop()
     return written(components(edges), "roots")
