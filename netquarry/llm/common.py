@@ -25,27 +25,36 @@ def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = AT_ONCE,
     What the worker holds of earlier jobs goes, unless this one says that it holds something itself."""
     if not holding:
         released()
-    for batch in batches:
-        strings, begin = batch.column(column), 0
-        kind = np.int64 if pa.types.is_large_string(strings.type) or pa.types.is_large_binary(strings.type) else np.int32
-        ends = np.frombuffer(strings.buffers()[1], kind)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, kind)
-        while True:
-            end = max(begin + 1, int(np.searchsorted(ends, int(ends[begin]) + most, "right")) - 1)
-            yield batch.slice(begin, end - begin)
-            if (begin := end) >= len(batch):
-                break
+    try:
+        for batch in batches:
+            strings, begin = batch.column(column), 0
+            kind = np.int64 if pa.types.is_large_string(strings.type) or pa.types.is_large_binary(strings.type) else np.int32
+            ends = np.frombuffer(strings.buffers()[1], kind)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, kind)
+            while True:
+                end = max(begin + 1, int(np.searchsorted(ends, int(ends[begin]) + most, "right")) - 1)
+                yield batch.slice(begin, end - begin)
+                if (begin := end) >= len(batch):
+                    break
+            del batch, strings, ends
+    finally:
+        trimmed()  # the worker may stay idle beside those of the next job
 
 
 _HELD: dict = {}
 
 
 def released() -> None:
-    """Gives back the memory of what is held."""
-    if _HELD:
-        _HELD.clear()
-        gc.collect()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+    """Gives back the memory of what is held, and what earlier jobs left free in the worker."""
+    _HELD.clear()
+    gc.collect()
+    trimmed()
+
+
+def trimmed() -> None:
+    """Returns free memory of Arrow's pool and of the C library to the machine."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def held(of: tuple, key, make: Callable):
@@ -56,6 +65,7 @@ def held(of: tuple, key, make: Callable):
         _HELD["of"] = of
     if key not in _HELD:
         _HELD[key] = make()
+        trimmed()  # what making it took
     return _HELD[key]
 
 
