@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import domains
-from ..operators import binding, flows, gates
+from ..operators import binding, flows, gates, recovery
 from .common import HOUR, packets, table
 
 #: Limits in the place of 30 s, 120 s and 4096 packets: users' events are hours apart.
@@ -72,6 +72,19 @@ def interval_matches(spark, d):
     return m.select("flow_id", "reference", "label")
 
 
+def _connections(spark, d):
+    c = _labels(spark, d).select("user_id", F.col("reference").alias("uid"), F.col("start").alias("start_ns"), F.col("end").alias("end_ns"))
+    return c, packets(spark, d).select("user_id", "event_id", F.col("us").alias("timestamp_ns"))
+
+
+def connection_packets(spark, d):
+    return recovery.row_first(*_connections(spark, d), ["user_id"], 12 * HOUR).select("uid", "packets", "shared")
+
+
+def uncovered_packets(spark, d):
+    return recovery.uncovered(*_connections(spark, d), ["user_id"], 12 * HOUR).select("event_id", "user_id")
+
+
 def overlap_candidates(spark, d):
     m = binding.overlapping(_spans(spark, d), _labels(spark, d), ["user_id"], "first", "last", "start", "end")
     return m.groupBy("label").agg(F.count("*").alias("pairs"))
@@ -119,7 +132,7 @@ def unique_gate(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    idle_sessions, flow_sessions, session_closures, flow_features, arrival_faults, interval_matches, overlap_candidates, bound_flows, binding_statuses,
+    idle_sessions, flow_sessions, session_closures, flow_features, arrival_faults, interval_matches, connection_packets, uncovered_packets, overlap_candidates, bound_flows, binding_statuses,
     domain_features, novel_digests, shared_members, first_packets, temporal_gates, unique_gate,
 )}
 
@@ -168,6 +181,9 @@ ORACLE = {
       g AS (SELECT fault, coalesce(sum((fault IS NOT NULL)::INT) OVER (PARTITION BY capture ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM f)
       SELECT fault, count(*) AS n, max(epoch)::BIGINT AS last_epoch FROM g GROUP BY fault""",
     "interval_matches": f"""SELECT flow_id, reference, label FROM {_SPANS} AS f JOIN {_LABELS} AS l ON f.user_id = l.user_id AND l.start <= f.first AND f.last <= l."end" """,
+    "connection_packets": f"""WITH h AS (SELECT reference, event_id, count(*) OVER (PARTITION BY event_id) AS n FROM {_LABELS} AS l JOIN {_E} AS e ON e.user_id = l.user_id AND us BETWEEN start AND "end")
+      SELECT reference AS uid, count(*) AS packets, count_if(n > 1) AS shared FROM h GROUP BY reference""",
+    "uncovered_packets": f"""SELECT event_id, user_id FROM {_E} AS e WHERE NOT EXISTS (SELECT 1 FROM {_LABELS} AS l WHERE l.user_id = e.user_id AND e.us BETWEEN l.start AND l."end")""",
     "overlap_candidates": f"""SELECT label, count(*) AS pairs FROM {_SPANS} AS f JOIN {_LABELS} AS l ON f.user_id = l.user_id AND l.start <= f.last AND f.first <= l."end" GROUP BY label""",
     "bound_flows": f"""{_BOUND} SELECT flow_id, status, matches, CASE WHEN status LIKE '%MATCH' THEN reference::VARCHAR END AS reference,
       CASE WHEN status LIKE '%MATCH' THEN label END AS label FROM r""",
