@@ -93,15 +93,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return kept(df, name)[0]
 
 
-def kept(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
-    """As written(), and a function that deletes the folder once nothing reads it any more."""
-    spark = df.sparkSession
-    path, before = shared_path(spark, name), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def saved(df: DataFrame, path: str, *by: str) -> None:
+    """Writes df to the folder, in one of its own for each value of by; then the shuffle files of the write go."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        conf.set(CLEANUP, before)
+
+
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """As written(), and a function that deletes the folder once nothing reads it any more."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    saved(df, path)
     return spark.read.schema(df.schema).parquet(path), lambda: removed(spark, path)
 
 

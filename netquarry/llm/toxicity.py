@@ -6,9 +6,10 @@ of both classes together, so that a rare expression is smoothed alike on both si
 pairs of all labelled documents outside fold 0 and the curve's are counted; discounts come from the counts of counts.
 
 Counts are tables that Spark aggregates and writes to the shared folder, by hashes of the words;
-nothing of them passes through the driver. Workers load the words' table and pages of the pairs'
-table, of PAGE pairs at most each, one after the other for the texts at hand, so that the memory of
-a worker is bounded whatever the number of pairs.
+nothing of them passes through the driver. Workers load the words' table. The pairs' table they load
+too if it has PAGE pairs at most. A larger one is cut into pages by the pairs' hashes, and slices of
+text ask for the counts of their distinct pairs: each page is loaded by one task, which answers all
+slices. So a worker's memory is bounded and the work is linear, whatever the number of pairs.
 
 A document's evidence is the difference of the two log-likelihoods by word, of the whole document and,
 at the lower order, of its most toxic single expression, since one expression in a long document hardly
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded, held, shared_path, shielded, table
+from .common import bounded, held, removed, saved, shared_path, shielded, table, written
 
 WORD = re.compile(r"[^\W_]+")
 FOLDS = 5
@@ -39,8 +40,9 @@ FOLDS = 5
 FIT_ROWS = 20_000
 #: Labelled documents up to which their ids are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
-#: Pairs of a page of the model.
+#: Pairs that a worker loads whole; of more, each page has a QUARTER of that.
 PAGE = 16_000_000
+QUARTER = 4
 #: Bytes of text that are counted or scored together.
 TEXT = 2 << 20
 #: What stands before a text's first word.
@@ -78,6 +80,18 @@ def hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return own[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else np.zeros(0, np.uint64), begins
 
 
+def paged(key: np.ndarray, pages: int) -> list[np.ndarray]:
+    """For each page the places of its pairs' hashes, in order."""
+    page = key % np.uint64(pages)
+    order = np.argsort(page, kind="stable")
+    return np.split(order, np.searchsorted(page[order], np.arange(1, pages, dtype=np.uint64)))
+
+
+def slice_name(own: np.ndarray) -> str:
+    """Of the texts whose distinct pairs' hashes, in order, are these."""
+    return xxhash.xxh3_128_hexdigest(own.tobytes())
+
+
 def after_start(begins: np.ndarray) -> np.ndarray:
     """Places of all words but START."""
     real = np.ones(int(begins[-1]), bool)
@@ -121,7 +135,24 @@ class Model:
     vocabulary: int = 0
     weights: np.ndarray = field(default_factory=lambda: np.zeros(3))
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
+    def counts(self, own: np.ndarray, told: str) -> np.ndarray:
+        """(2, hashes): the counts by class of distinct pairs' hashes in order; those that told, the folder of answers(), lacks
+        are looked up in the page itself."""
+        n = np.zeros((2, len(own)), np.int64)
+        if self.pages == 1:
+            page_pairs(self, 0).count(own, n)
+            return n
+        got = dict(_answer(f"{told}/slice={slice_name(own)}")) if told else {}
+        for page, at in enumerate(paged(own, self.pages)):
+            if page in got:
+                n[:, at] = got[page]
+            elif len(at):
+                part = np.zeros((2, len(at)), np.int64)
+                page_pairs(self, page).count(own[at], part)
+                n[:, at] = part
+        return n
+
+    def features(self, texts: list[str | None], told: str = "") -> np.ndarray:
         """(mean log ratio of each text's words, largest log ratio of a word at the lower order); zeros without words."""
         out = np.zeros((len(texts), 2))
         h, begins = hashes(texts)
@@ -130,16 +161,11 @@ class Model:
             return out
         known = lexicon(self)
         a, b = known.find(h[at - 1]), known.find(h[at])
-        key = mixed(h[at - 1], h[at])
-        order = np.argsort(key)
+        own, index = np.unique(mixed(h[at - 1], h[at]), return_inverse=True)
         ratio = np.empty(len(at))
-        n = np.zeros((2, len(at)), np.int64)
-        for page in range(self.pages):
-            page_pairs(self, page).count(key[order], n)
+        n = self.counts(own, told)
         for c in (0, 1):
-            counts = np.empty(len(at), np.int64)
-            counts[order] = n[c]
-            p = known.probability(c, counts, a, b, self.pair_discounts[c])
+            p = known.probability(c, n[c][index], a, b, self.pair_discounts[c])
             ratio = np.log(p) if c == 0 else np.log(p) - ratio
         low = np.log(known.low[1][b]) - np.log(known.low[0][b])
         ends = begins[1:] - np.arange(1, len(begins))  # START isn't among the ratios
@@ -149,8 +175,8 @@ class Model:
         out[some, 1] = np.maximum.reduceat(low, starts[some])
         return out
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] + self.features(texts) @ self.weights[1:], -40, 40)))
+    def score(self, texts: list[str | None], told: str = "") -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + self.features(texts, told) @ self.weights[1:], -40, 40)))
 
 
 class Lexicon:
@@ -246,7 +272,7 @@ class Pairs:
 
 def _files(path: str) -> list[pq.ParquetFile]:
     store, at = fs.FileSystem.from_uri(path)
-    found = [f.path for f in store.get_file_info(fs.FileSelector(at)) if f.path.endswith(".parquet")]
+    found = [f.path for f in store.get_file_info(fs.FileSelector(at, allow_not_found=True)) if f.path.endswith(".parquet")]
     return [pq.ParquetFile(store.open_input_file(f)) for f in sorted(found)]
 
 
@@ -266,11 +292,61 @@ def lexicon(model: Model) -> Lexicon:
 
 
 def page_pairs(model: Model, page: int) -> Pairs:
-    """One page is held by each worker, and read anew if there are several."""
+    """The only page is held by each worker; of several each is read anew."""
     path = f"{model.path}/all" if model.pages == 1 else f"{model.path}/pairs/page={page}"
     return held(("toxicity", model.path), "pairs", lambda: Pairs(path)) if model.pages == 1 else Pairs(path)
 
 
+def _answer(path: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(page, counts by class of the slice's pairs in it) of each page that answered."""
+    for file in _files(path):
+        for row in file.read(["page", "n", "counts"], use_threads=False).to_pylist():
+            yield row["page"], np.frombuffer(pa.decompress(row["counts"], row["n"] * 8, "zstd"), np.int32).reshape(2, -1)
+
+
+def _page_numbers(pages: int):
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = mixed(*(batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in (0, 1)))
+            yield batch.append_column("page", pa.array((key % np.uint64(pages)).astype(np.int32)))
+
+    return numbered
+
+
+def answers(docs: DataFrame, model: Model) -> str:
+    """The folder with the counts that slices of the texts of docs ask for, none if workers hold all pairs. Slices are as features()
+    meets them when docs come in the same order again, as files do; any others are looked up there, which is slow."""
+    if model.pages < 2:
+        return ""
+    at, pages, path = docs.columns.index("text"), model.pages, shared_path(docs.sparkSession, "counts")
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, at, TEXT):
+            h, begins = hashes(batch.column(at).to_pylist())
+            places = after_start(begins)
+            own = np.unique(mixed(h[places - 1], h[places]))
+            name, keys = slice_name(own), [own[p].tobytes() for p in paged(own, pages)]
+            some = [i for i, k in enumerate(keys) if k]
+            columns = pa.array(some, pa.int32()), pa.array([name] * len(some), pa.string()), pa.array([keys[i] for i in some], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns), ["page", "slice", "keys"])
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, 2):
+            rows = []
+            for page, name, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(keys, np.uint64)
+                n = np.zeros((2, len(own)), np.int64)
+                held(("toxicity", model.path, page), "pairs", lambda page=page: page_pairs(model, page)).count(own, n)
+                rows.append((page, name, len(own), pa.compress(n.astype(np.int32).tobytes(), "zstd", asbytes=True)))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = pa.int32(), pa.string(), pa.int32(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["page", "slice", "n", "counts"])
+
+    found = docs.mapInArrow(asked, "page int, slice string, keys binary").repartition(pages, "page").sortWithinPartitions("page")
+    saved(found.mapInArrow(answered, "page int, slice string, n int, counts binary").repartition("slice"), path, "slice")
+    return path
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights (constant first) of a lightly penalised logistic curve, by Newton's method."""
     a, w, keep = np.c_[np.ones(len(x)), x], np.zeros(x.shape[1] + 1), 0.1
@@ -288,7 +364,7 @@ def count(marked: DataFrame) -> Model:
     spark, path = marked.sparkSession, shared_path(marked.sparkSession, "toxicity")
     counted = marked.select("text", "toxic").mapInArrow(_pairs, "a long, b long, n0 long, n1 long")
     pairs = counted.groupBy("a", "b").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1"))
-    pairs.write.parquet(f"{path}/all")
+    saved(pairs, f"{path}/all")
     pairs = spark.read.schema(pairs.schema).parquet(f"{path}/all")
     times = lambda c, ks: [F.count_if(F.col(c) == k).alias(f"{c}_{k}") for k in ks]
     seen = pairs.agg(F.count("*").alias("n"), *times("n0", (1, 2, 3, 4)), *times("n1", (1, 2, 3, 4))).first()
@@ -302,9 +378,11 @@ def count(marked: DataFrame) -> Model:
     kinds = ("c", "c0", "c1")
     more = [x for c in kinds for x in (*times(c, (1, 2, 3, 4)), F.sum(c).alias(f"{c}_sum"), F.count_if(F.col(c) > 2).alias(f"{c}_more"))]
     told = spark.read.parquet(f"{path}/words").agg(F.count_if(F.col("c") > 0).alias("n"), *more).first()
-    pages = -(-seen["n"] // PAGE)
+    pages = 1 if seen["n"] <= PAGE else -(-seen["n"] * QUARTER // PAGE)
     if pages > 1:
-        pairs.withColumn("page", F.pmod(F.xxhash64("a", "b"), F.lit(pages)).cast("int")).write.partitionBy("page").parquet(f"{path}/pairs")
+        numbered = pairs.mapInArrow(_page_numbers(pages), "a long, b long, n0 int, n1 int, page int")
+        saved(numbered.repartition(pages, "page"), f"{path}/pairs", "page")
+        removed(spark, f"{path}/all")
     of = lambda row, c: discounts({k: row[f"{c}_{k}"] for k in (1, 2, 3, 4)})
     ds, totals = [of(told, c) for c in kinds], [told[f"{c}_sum"] for c in kinds]
     left = [(d[1] * told[f"{c}_1"] + d[2] * told[f"{c}_2"] + d[3] * told[f"{c}_more"]) / t if t else 1.0 for c, d, t in zip(kinds, ds, totals, strict=True)]
@@ -321,22 +399,24 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     spark = docs.sparkSession
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id")) != 0)
     marked = marked.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    told = marked.agg(F.count("*").alias("n"), F.avg("toxic").alias("share")).first()
+    labelled = marked.agg(F.count("*").alias("n"), F.avg("toxic").alias("share")).first()
     near = lambda x, n: F.broadcast(x) if n <= BROADCAST_ROWS else x
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    model = count(texts.join(near(marked.where(fold(F.col("doc_id")) > 1), told["n"]), "doc_id"))
-    share = float(np.clip(told["share"] or 0.0, 1e-3, 1 - 1e-3))
+    model = count(texts.join(near(marked.where(fold(F.col("doc_id")) > 1), labelled["n"]), "doc_id"))
+    share = float(np.clip(labelled["share"] or 0.0, 1e-3, 1 - 1e-3))
     model.weights[0] = np.log(share / (1 - share))
     if model.pages:
         sample = marked.where(fold(F.col("doc_id")) == 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-        shared = spark.sparkContext.broadcast(model)
+        curve = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic")
+        if model.pages > 1:
+            curve = written(curve, "curve")
+        shared, told = spark.sparkContext.broadcast(model), answers(curve, model)
 
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in bounded(batches, 0, TEXT, holding=True):
-                f = shared.value.features(batch.column(0).to_pylist())
+                f = shared.value.features(batch.column(0).to_pylist(), told)
                 yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1]), batch.column(1)], ["mean", "top", "toxic"])
 
-        curve = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic")
         curve = curve.mapInArrow(features, "mean double, top double, toxic int").toPandas()  # fit_rows rows at most
         if curve["toxic"].nunique() == 2:
             curve = curve.sort_values(["mean", "top", "toxic"])  # sums don't depend on the order of tasks
@@ -351,12 +431,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Null and empty texts get the score of a text without evidence. Every row is returned, repeated ones too.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, told = docs.sparkSession.sparkContext.broadcast(model), answers(docs, model)
     at = docs.columns.index("text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, at, TEXT, holding=True):
-            yield batch.append_column("toxic_score", pa.array(shared.value.score(batch.column(at).to_pylist()), pa.float64()))
+            yield batch.append_column("toxic_score", pa.array(shared.value.score(batch.column(at).to_pylist(), told), pa.float64()))
 
     schema = StructType([*docs.schema.fields, StructField("toxic_score", DoubleType())])
     return docs.mapInArrow(scored, schema)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from netquarry.llm import bpe, components, decontaminate, pii, simhash, token_files, toxicity
+from netquarry.llm.common import removed
 
 from .data import ODD, WORDS, frame, tables, text
 
@@ -361,6 +362,20 @@ def test_pages_of_pairs_make_no_difference(spark, monkeypatch):
     assert many.pages > one.pages == 1 and one.features(asked) == pytest.approx(many.features(asked))
 
 
+def test_scoring_reads_no_pages_of_pairs(spark, tmp_path, monkeypatch):
+    frame(spark, [*ODD, *((100 + i, text(30, i)) for i in range(120))]).repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    labels = docs.where("doc_id IS NOT NULL").selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic")
+    scores = lambda df: np.array(sorted((r["doc_id"] or 0, r["toxic_score"]) for r in df.collect()))
+    whole = scores(toxicity.score(docs, toxicity.fit(docs, labels)))
+    monkeypatch.setattr(toxicity, "TEXT", 1 << 10)  # many slices
+    monkeypatch.setattr(toxicity, "PAGE", 200)
+    model = toxicity.fit(docs, labels)
+    scored = toxicity.score(docs, model)
+    removed(spark, f"{model.path}/pairs")
+    assert model.pages > 2 and scores(scored) == pytest.approx(whole)
+
+
 # Decontamination
 
 
