@@ -30,6 +30,8 @@ from .runs import Runs
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Pieces and pairs of tokens remembered by a worker; beyond that it starts anew.
 REMEMBERED = 200_000
+#: Bytes of text that the pipeline's stage encodes together, beside which an executor's memory has the most left by earlier stages.
+TEXT = 4 << 20
 #: Bits of a token's number.
 SHIFT = 20
 #: Longer pieces are encoded each time.
@@ -172,7 +174,7 @@ def encoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path).runs
-        for batch in bounded(batches, 1, holding=True):
+        for batch in bounded(batches, 1, TEXT, holding=True):
             ids, ends = own.encode(batch.column(1))
             ends = np.concatenate([[0], ends]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(

@@ -29,10 +29,10 @@ SEED = 42
 SHINGLE = 5
 #: Similarity from which texts are linked: OVER / UNDER.
 OVER, UNDER = 4, 5
-#: Turns of pivots before all pairs, pivots of a shingle in each, and how many of them are those with most links; texts of the sample that gives the order, how often a
-#: shingle is common, and most of these.
+#: Turns of pivots before all pairs, pivots of a shingle in each, and how many of them are those with most links; texts up to which the sample that gives the order
+#: has all, of how many it has one beyond that, how often in it a shingle is common, and most of these.
 TURNS, PIVOTS, CENTRAL = 2, 2, 1
-SAMPLE, COMMON, MOST = 10_000, 4, 500_000
+SAMPLE, ONE_IN, COMMON, MOST = 10_000, 4, 4, 500_000
 #: 64-bit words of the bitmap that spares the shuffle of shingles that one text alone has.
 SLOTS = 1 << 17
 #: 64-bit words of a set's sketch, and the columns of sets.
@@ -198,10 +198,11 @@ def groups(texts: DataFrame, links: DataFrame) -> DataFrame:
     """texts (node long, the name() of its text, each once; text), links (a, b: pairs of nodes that may be similar, to be
     tried first) -> node, root of the texts similar to another, as components()."""
     texts = texts.select("node", "text")
-    share = max(1, texts.count() // SAMPLE)
+    # a share of the texts, not a number: else what is just not common is in more texts the more there are, and pairs grow with the square
+    share = min(ONE_IN, max(1, texts.count() // SAMPLE))
     sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).mapInArrow(_sets(), SETS)
     common = sample.select(F.explode("own").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    common = common.orderBy(F.desc("n"), "s").limit(MOST).toPandas().sort_values("s")  # the order of shingles only
+    common = written(common, "common").orderBy(F.desc("n"), "s").limit(MOST).toPandas().sort_values("s")  # the order of shingles only
     shared = texts.sparkSession.sparkContext.broadcast((common["s"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
     tried = written(links.select("a", "b").where("a <> b").distinct(), "pairs")
     edges = _similar(texts, tried)

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Code points of the longest run whose ids are remembered.
 LONG = 64
+#: Runs whose ids are put together at a time.
+BLOCK = 1 << 16
 #: Two adjoining white space characters, as Unicode and Python have them.
 CLUMSY = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
 
@@ -54,10 +56,16 @@ class Runs:
         ids = [*self._spaced(names), *map(self.whole, own)]
         index[starts[:-1]] = [len(names) + own[r] for r in firsts]
         sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        del cut, runs, names, firsts, own
         flat, begins = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
-        n = sizes[index]
-        ends = np.cumsum(n)
-        out = flat[np.repeat(begins[index] - (ends - n), n) + np.arange(ends[-1])]
+        del ids
+        ends = np.cumsum(sizes[index])
+        out = np.empty(ends[-1], np.uint32)
+        for at in range(0, len(index), BLOCK):  # places of ids take twice their room
+            part = index[at : at + BLOCK]
+            n, end = sizes[part], ends[at : at + BLOCK]
+            first = int(end[0] - n[0])
+            out[first : end[-1]] = flat[np.repeat(begins[part] - (end - n), n) + np.arange(first, end[-1])]
         return out, ends[starts[1:] - 1]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

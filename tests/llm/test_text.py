@@ -3,15 +3,18 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from netquarry.llm import bpe, components, decontaminate, pii, simhash, token_files, toxicity
+from netquarry.llm import bpe, components, decontaminate, jaccard, pii, simhash, token_files, toxicity
 from netquarry.llm.common import removed
+from netquarry.llm.runs import Runs
 
 from .data import ODD, WORDS, frame, tables, text
 
@@ -376,6 +379,29 @@ def test_scoring_reads_no_pages_of_pairs(spark, tmp_path, monkeypatch):
     assert model.pages > 2 and scores(scored) == pytest.approx(whole)
 
 
+def test_lines_of_many_texts_make_no_pairs_however_many_texts(spark, monkeypatch):
+    rng, made, pairs = random.Random(5), [], jaccard._pairs
+    lines = [" ".join(f"line{k}word{i}" for i in range(9)) for k in range(20)]
+    texts = [" ".join([*(f"own{rng.random()}" for _ in range(32)), lines[i % 20]]) for i in range(1600)]
+    monkeypatch.setattr(jaccard, "SAMPLE", 50)
+    monkeypatch.setattr(jaccard, "_pairs", lambda rows, other: made.append(rows.count()) or pairs(rows, other))
+    named = [(int(np.uint64(jaccard.name(jaccard.words(t))).view(np.int64)), t) for t in texts]
+    none = spark.createDataFrame([], "a long, b long")
+    assert jaccard.groups(spark.createDataFrame(named, "node long, text string"), none).count() == 0
+    assert sum(made) < 200, made
+
+
+def test_ids_of_many_runs_are_put_together_in_little_memory():
+    own = Runs(lambda t: b"", lambda runs: [r.encode().ljust(4) for r in runs], [], 1000)
+    texts = pa.array([" ".join(["a", "bc", "d"] * 1000)] * 200)
+    tracemalloc.start()
+    ids, ends = own.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ends.tolist() == list(range(2999, 600_000, 2999)) and ids.tobytes()[:12] == b"bc  d   a   "
+    assert peak < 28 * len(ids)
+
+
 # Decontamination
 
 
