@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +112,23 @@ def kept(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(path), lambda: removed(spark, path)
 
 
+def settled(spark: SparkSession) -> None:
+    """The driver collects its garbage, since only then Spark lets go of the broadcasts and shuffles of jobs that have ended, and
+    returns free memory of the C library to the machine, where its Java has the command for it."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    named = jvm.java.lang.Class.forName
+    types, given = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+    for i, of in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        types[i] = named(of)
+    try:
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # by the interface: the server's own class is closed to callers
+        named("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:  # a Java without the command
+        pass
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder through Spark's own file system layer."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()

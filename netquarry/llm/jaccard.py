@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, kept, written
+from .common import bounded, kept, settled, written
 from .components import components
 
 SEED = 42
@@ -198,6 +198,7 @@ def groups(texts: DataFrame, links: DataFrame) -> DataFrame:
     """texts (node long, the name() of its text, each once; text), links (a, b: pairs of nodes that may be similar, to be
     tried first) -> node, root of the texts similar to another, as components()."""
     texts = texts.select("node", "text")
+    settled(texts.sparkSession)
     # a share of the texts, not a number: else what is just not common is in more texts the more there are, and pairs grow with the square
     share = min(ONE_IN, max(1, texts.count() // SAMPLE))
     sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).mapInArrow(_sets(), SETS)
@@ -213,6 +214,7 @@ def groups(texts: DataFrame, links: DataFrame) -> DataFrame:
     members, drop = kept(texts.mapInArrow(_keyed(shared, marks), keyed).join(several, "key", "left_semi"), "keys")
     used = texts.select("node").limit(0)
     for turn in range(TURNS + 1):
+        settled(texts.sparkSession)
         before, (members, pivots, drop) = drop, _turn(members, edges, used, turn)
         before()
         if turn < TURNS:

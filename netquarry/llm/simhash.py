@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import jaccard
-from .common import bounded, shielded, table, written
+from .common import bounded, settled, shielded, table, written
 from .components import components
 
 SEED = 42
@@ -211,6 +211,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     differ in more bits than any keys can bridge; an exact join of the sets links those. Rows with a null or
     repeated doc_id stay where their texts are no near duplicates. Texts without words are alike. No rows: none.
     """
+    settled(spark)  # of the stage before
     inner, restored = shielded(docs, "doc_id", "text")
     schema = StructType([*inner.schema.fields, StructField("node", LongType()), StructField("fp", LongType())])
     # columns without an order go along as those of the row that stays

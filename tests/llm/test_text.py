@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from netquarry.llm import bpe, components, decontaminate, jaccard, pii, simhash, token_files, toxicity
-from netquarry.llm.common import removed
+from netquarry.llm.common import removed, settled
 from netquarry.llm.runs import Runs
 
 from .data import ODD, WORDS, frame, tables, text
@@ -101,6 +101,38 @@ def test_components_of_odd_graphs(spark):
     assert len({roots[i] for i in range(201)}) == 1 and len(set(roots.values())) == 2
 
 
+def test_components_of_few_edges_take_few_jobs(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(3000)], "a long, b long")
+    spark.sparkContext.setJobGroup("few edges", "")
+    try:
+        got = components.components(path).collect()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few edges")
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert len(got) == 3001 and len({r["root"] for r in got}) == 1
+    assert len(jobs) <= 10  # the driver keeps what it knows of each
+
+
+@pytest.mark.parametrize("few", [0, 40, 1 << 14])
+def test_components_are_exact_whatever_one_task_joins(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    dice = random.Random(5)
+    pairs = [(dice.randrange(-400, 400), dice.randrange(-400, 400)) for _ in range(380)] + [(1 << 62, -(1 << 63)), (7, 7), (None, 8)]
+    root = {x: x for p in pairs for x in p if None not in p and p[0] != p[1]}
+    for a, b in (p for p in pairs if None not in p and p[0] != p[1]):
+        old, new = root[a], root[b]
+        root = {k: new if v == old else v for k, v in root.items()}
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got.keys() == root.keys() and all(got[r] == r for r in got.values())
+    assert len(set(got.values())) == len(set(root.values())) == len({(got[x], root[x]) for x in root})
+
+
+def test_driver_gives_back_memory(spark):
+    big = spark.sparkContext.broadcast(bytes(1))
+    settled(spark)
+    assert big.value == bytes(1)  # what is in use stays
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(frame(spark)).collect()), key=str)
     assert len(got) == len(ODD)
