@@ -5,7 +5,7 @@ Grouping treats nulls as equal to each other, as NaNs and zeros of either sign:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,12 +147,36 @@ def leakage(df: DataFrame, features: Sequence[str]) -> DataFrame:
     )
 
 
+def first_of_class(df: DataFrame, label: str, limit: Callable[[Column, Column], Column], order: Sequence[str], seed: int, mark: str) -> DataFrame:
+    """Adds the boolean mark: whether a row is among the first limit(class, rows of the class) of its class, by a seeded hash
+    of the columns order, then by these. A null limit marks no row.
+
+    No class is sorted as a whole: rows are counted by the hash's upper 16 bits, which gives each class the one range that its
+    limit falls into, about one of 65,536; only rows of that range are sorted. df is read three times, one row for each class is
+    broadcast. Rows equal in all of order share a range, and which of them come first is open.
+    """
+    key = F.xxhash64(F.lit(seed), *order)
+    range_ = F.shiftright(key, 48)
+    per = df.groupBy(F.col(label).alias("_class"), range_.alias("_at")).agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy("_class")
+    per = per.withColumns({"_so_far": F.sum("_n").over(whole.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(whole)})
+    before = F.col("_so_far") - F.col("_n")
+    most = limit(F.col("_class"), F.col("_all"))
+    per = per.withColumn("_limit", F.when(most > F.col("_all"), F.col("_all")).otherwise(most))
+    edges = per.where((F.col("_limit") > before) & (F.col("_limit") <= F.col("_so_far"))).select("_class", "_at", (F.col("_limit") - before).alias("_rest"))
+    rows = df.join(F.broadcast(edges), F.col(label).eqNullSafe(F.col("_class")), "left")
+    sure = rows.where(F.coalesce(range_ != F.col("_at"), F.lit(True))).withColumn(mark, F.coalesce(range_ < F.col("_at"), F.lit(False)))
+    place = F.row_number().over(Window.partitionBy(label).orderBy(key, *order))
+    edge = rows.where(range_ == F.col("_at")).withColumn(mark, place <= F.col("_rest"))
+    return sure.unionAll(edge).drop("_class", "_at", "_rest")
+
+
 def sampled(df: DataFrame, label: str, sizes: dict, order: Sequence[str], seed: int = 42) -> DataFrame:
     """At most sizes[label] rows of each class, the first by a seeded hash of the columns order; classes that aren't
-    named stay whole. Spark limits each class before it is shuffled."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), *order), *order))
-    limit = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, n)])[F.col(label)]
-    return df.withColumn("_place", place).where(limit.isNull() | (F.col("_place") <= limit)).drop("_place")
+    named stay whole."""
+    limits = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, n)])
+    named = first_of_class(df.where(limits[F.col(label)].isNotNull()), label, lambda class_, n: limits[class_], order, seed, "_in")
+    return df.where(limits[F.col(label)].isNull()).unionAll(named.where("_in").drop("_in"))
 
 
 def fractional_sample(df: DataFrame, fraction: float, cap: int, seed: int = 42) -> DataFrame:

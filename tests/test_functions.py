@@ -1,6 +1,7 @@
 from functools import reduce
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netquarry.functions import domains, numeric, packets
@@ -186,3 +187,40 @@ def test_overlap_and_validation_fail_hard(spark):
     reports.required_apart(a, b, ["s"])
     with pytest.raises(ValueError, match=r"missing \['z'\], unexpected \['s'\]"):
         reports.validated(a, ["i", "z"])
+
+
+def most_read(spark, run):
+    """Most records that one task of run() reads from a shuffle."""
+    sc = spark.sparkContext
+    group = f"read {run!r}"
+    sc.setJobGroup(group, "")
+    run()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(group)]
+    most = 0
+    for stage in {i for j in jobs for i in j.stageIds}:
+        tasks = sc._jsc.sc().statusStore().taskList(stage, 0, 1000)
+        most = max([most, *[tasks.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for i in range(tasks.size())]])
+    return most
+
+
+def test_samples_and_splits_are_those_of_one_sort_of_each_class(spark):
+    df = spark.range(50_000).select("id", F.when(F.col("id") % 10 == 0, "r").when(F.col("id") % 3 > 0, "c").alias("label"))
+    whole = Window.partitionBy("label")
+    placed = df.withColumn("p", F.row_number().over(whole.orderBy(F.xxhash64(F.lit(42), "id"), "id"))).withColumn("n", F.count("*").over(whole))
+    kept = patterns.sampled(df, "label", {"c": 5000, "r": 0}, ["id"])
+    assert rows(kept) == rows(placed.where("label IS NULL OR label = 'c' AND p <= 5000").select("id", "label"))
+    assert rows(patterns.sampled(df, "label", {"r": 10**6}, ["id"])) == rows(df)
+    for share in (0.0, 0.3, 1.0):
+        got = patterns.train_test(df, "label", ["id"], share)
+        assert rows(got) == rows(placed.select("id", "label", F.col("p") <= F.ceil(F.col("n") * F.lit(share))))
+    assert patterns.train_test(df.limit(0), "label", ["id"]).count() == 0
+    same = df.withColumn("o", F.lit(1))  # equal rows: how many is given, not which
+    assert rows(patterns.sampled(same, "label", {"c": 7, "r": 9}, ["o"]).where("label IS NOT NULL").groupBy("label").count()) == [("c", 7), ("r", 9)]
+
+
+@pytest.mark.parametrize("of", [lambda df: patterns.sampled(df, "label", {"c": 3000}, ["id"])])
+def test_no_class_is_sorted_by_one_task(spark, of):
+    df = spark.range(2_000_000).select("id", F.lit("c").alias("label"))
+    assert most_read(spark, lambda: of(df).write.format("noop").mode("overwrite").save()) < 300_000
