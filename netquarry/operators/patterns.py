@@ -186,6 +186,4 @@ def fractional_sample(df: DataFrame, fraction: float, cap: int, seed: int = 42)
 
 def train_test(df: DataFrame, label: str, columns: Sequence[str], test: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds in_test: the share test of each class, by a seeded order of its rows."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), *columns), *columns)
-    n = F.count("*").over(Window.partitionBy(label))
-    return df.withColumn("in_test", F.row_number().over(w) <= F.ceil(n * F.lit(test)))
+    return first_of_class(df, label, lambda class_, n: F.ceil(n * F.lit(test)), columns, seed, "in_test")

@@ -220,7 +220,7 @@ def test_samples_and_splits_are_those_of_one_sort_of_each_class(spark):
     assert rows(patterns.sampled(same, "label", {"c": 7, "r": 9}, ["o"]).where("label IS NOT NULL").groupBy("label").count()) == [("c", 7), ("r", 9)]
 
 
-@pytest.mark.parametrize("of", [lambda df: patterns.sampled(df, "label", {"c": 3000}, ["id"])])
+@pytest.mark.parametrize("of", [lambda df: patterns.sampled(df, "label", {"c": 3000}, ["id"]), lambda df: patterns.train_test(df, "label", ["id"])])
 def test_no_class_is_sorted_by_one_task(spark, of):
     df = spark.range(2_000_000).select("id", F.lit("c").alias("label"))
     assert most_read(spark, lambda: of(df).write.format("noop").mode("overwrite").save()) < 300_000
