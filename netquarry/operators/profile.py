@@ -1,4 +1,4 @@
-"""Profiles of tables: each one pass over the rows, however many columns."""
+"""Profiles of tables: each one pass over the rows, however many columns; exact quantiles take three."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite, ratio_or_null
+from . import ranks
 
 
 def _by_column(df: DataFrame, columns: Sequence[str], measures: dict, keys: Sequence[str] = ()) -> DataFrame:
@@ -108,17 +109,22 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def group_summary(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """keys, name, count, mean, median, deviation of each column within each group."""
     x = lambda c: finite(F.col(c))
-    return _by_column(
+    out = _by_column(
         df, columns,
-        {"count": lambda c: F.count(x(c)), "mean": lambda c: F.round(F.avg(x(c)), 6), "median": lambda c: F.round(F.median(x(c)), 6),
-         "deviation": lambda c: F.round(F.stddev_samp(x(c)), 6)}, keys,
+        {"count": lambda c: F.count(x(c)), "mean": lambda c: F.round(F.avg(x(c)), 6), "deviation": lambda c: F.round(F.stddev_samp(x(c)), 6)}, keys,
     )
+    middle = ranks.quantiles(df, columns, (0.5,), keys).select(*[F.col(k).alias(f"_m{i}") for i, k in enumerate(keys)], F.col("name").alias("_name"), "q")
+    same = [F.col(k).eqNullSafe(F.col(f"_m{i}")) for i, k in enumerate(keys)] + [F.col("name") == F.col("_name")]
+    return out.join(middle, same, "left").select(*keys, "name", "count", "mean", F.round(F.col("q")[0], 6).alias("median"), "deviation")
 
 
 def median_differences(df: DataFrame, positive: Column, columns: Sequence[str]) -> DataFrame:
     """name, negative_median, positive_median, difference and its ratio to the negative median's size (null at 0)."""
-    m = lambda c, p: F.median(F.when(positive if p else ~positive, finite(F.col(c))))
-    out = _by_column(df, columns, {"n": lambda c: m(c, False), "p": lambda c: m(c, True)})
+    sides = [F.when(~positive if side == "n" else positive, finite(F.col(c))).alias(f"{side}{i}") for i, c in enumerate(columns) for side in "np"]
+    q = ranks.quantiles(df.select(*sides), [f"{side}{i}" for i in range(len(columns)) for side in "np"], (0.5,))
+    of = lambda k: F.first(F.when(F.col("name") == k, F.col("q")[0]), ignorenulls=True)
+    out = q.agg(F.array(*[F.struct(F.lit(c).alias("name"), of(f"n{i}").alias("n"), of(f"p{i}").alias("p")) for i, c in enumerate(columns)]).alias("_all"))
+    out = out.select(F.inline("_all"))
     d = F.col("p") - F.col("n")
     return out.select(
         "name", F.round("n", 6).alias("negative_median"), F.round("p", 6).alias("positive_median"), F.round(d, 6).alias("difference"),

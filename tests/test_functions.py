@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netquarry.functions import domains, numeric, packets
-from netquarry.operators import evaluation, flows, gates, patterns, profile, statistics
+from netquarry.operators import evaluation, flows, gates, patterns, profile, ranks, statistics
 
 from .conftest import rows
 
@@ -224,3 +224,47 @@ def test_samples_and_splits_are_those_of_one_sort_of_each_class(spark):
 def test_no_class_is_sorted_by_one_task(spark, of):
     df = spark.range(2_000_000).select("id", F.lit("c").alias("label"))
     assert most_read(spark, lambda: of(df).write.format("noop").mode("overwrite").save()) < 300_000
+
+
+def test_exact_quantiles_are_those_of_one_sort(spark):
+    near = [1e9 + i / 2**22 for i in range(3000)]  # one range of the first turn
+    wild = [s * 10.0**e for s in (1, -1, 1.7) for e in range(-320, 308, 3)]
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1.7976931348623157e308, float("nan"), float("inf"), float("-inf"), None]
+    data = [("a", x, y) for x, y in zip(near, (wild + odd) * 10)] + [(None, 2.0, 1.0), (None, 3.0, None), ("b", None, None), ("c", 5.0, -5.0)]
+    df = spark.createDataFrame(data, "g string, x double, y double").repartition(3)
+    at = [0.0, 0.01, 0.3, 0.5, 0.77, 1.0]
+    wanted = [F.percentile(numeric.finite(F.col(c)), F.array(*map(F.lit, at))) for c in "xy"]
+    told = lambda out: {tuple(r[:-1]): r["q"] for r in out.collect() if r["q"] is not None}
+    one = df.agg(*wanted).first()
+    assert told(ranks.quantiles(df, ["x", "y"], at)) == {("x",): one[0], ("y",): one[1]}
+    for few in (None, False):
+        by = {(r["g"], c): r[1 + i] for r in df.groupBy("g").agg(*wanted).collect() for i, c in enumerate("xy") if r[1 + i] is not None}
+        assert told(ranks.quantiles(df, ["x", "y"], at, ["g"], few)) == by
+    assert rows(ranks.quantiles(df.limit(0), ["x", "y"], at)) == [("x", None), ("y", None)]
+    summary = {(r["g"], r["name"]): r["median"] for r in profile.group_summary(df, ["g"], ["x", "y"]).collect()}
+    assert summary[None, "x"] == 2.5 and summary["b", "x"] is None and summary["c", "y"] == -5.0 and len(summary) == 8
+
+
+PROFILES = {
+    "median_differences": lambda df: profile.median_differences(df, F.col("id") % 2 == 0, ["x"]),
+    "group_summary": lambda df: profile.group_summary(df, ["g"], ["x"]),
+}
+
+
+def shuffled(spark, run):
+    """Bytes that run() reads from shuffles in all."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group := f"bytes {run!r}", "")
+    run()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(group)]
+    tasks = [sc._jsc.sc().statusStore().taskList(stage, 0, 1000) for stage in {i for j in jobs for i in j.stageIds}]
+    read = [t.apply(i).taskMetrics().get().shuffleReadMetrics() for t in tasks for i in range(t.size())]
+    return sum(r.localBytesRead() + r.remoteBytesRead() for r in read)
+
+
+@pytest.mark.parametrize("name", PROFILES)
+def test_no_task_reads_all_values_for_a_quantile(spark, name):
+    df = spark.range(300_000).select("id", F.lit("g").alias("g"), (F.col("id") * 7919 % 1_000_003 / 7).alias("x"))
+    assert shuffled(spark, lambda: PROFILES[name](df).write.format("noop").mode("overwrite").save()) < 2_000_000
