@@ -44,8 +44,8 @@ QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 def quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float] = QUANTILES, exact: bool = True) -> DataFrame:
     """name and p01, p05, ...: linearly interpolated over finite values; not exact, a mergeable sketch of bounded size."""
-    of = (lambda c: F.percentile(finite(F.col(c)), F.array(*map(F.lit, at)))) if exact else (lambda c: F.percentile_approx(finite(F.col(c)), list(at), 100_000))
-    out = _by_column(df, columns, {"q": of})
+    sketch = lambda c: F.percentile_approx(finite(F.col(c)), list(at), 100_000)
+    out = ranks.quantiles(df, columns, at) if exact else _by_column(df, columns, {"q": sketch})
     return out.select("name", *[F.round(F.col("q")[i], 6).alias(f"p{round(q * 100):02d}") for i, q in enumerate(at)])
 
 

@@ -247,6 +247,7 @@ def test_exact_quantiles_are_those_of_one_sort(spark):
 
 PROFILES = {
     "median_differences": lambda df: profile.median_differences(df, F.col("id") % 2 == 0, ["x"]),
+    "quantiles": lambda df: profile.quantiles(df, ["x"]),
     "group_summary": lambda df: profile.group_summary(df, ["g"], ["x"]),
 }
 
