@@ -144,7 +144,7 @@ def binary_label(label: Column, benign: str = "benign") -> Column:
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """name, median: for imputation."""
-    return _by_column(df, columns, {"median": lambda c: F.round(F.median(finite(F.col(c))), 6)})
+    return ranks.quantiles(df, columns, (0.5,)).select("name", F.round(F.col("q")[0], 6).alias("median"))
 
 
 def scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
