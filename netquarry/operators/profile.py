@@ -52,9 +52,10 @@ def quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float] = QUANT
 def iqr_outliers(df: DataFrame, columns: Sequence[str], reach: float = 1.5) -> DataFrame:
     """name, q1, q3, low, high, below, above, share: values strictly beyond reach interquartile ranges.
 
-    The quartiles come from a first pass; their one row is joined to the second, which counts.
+    The quartiles come first; their one row is joined to the last pass, which counts.
     """
-    q = df.agg(*[F.percentile(finite(F.col(c)), F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}") for c in columns])
+    quartiles = ranks.quantiles(df, columns, (0.25, 0.75))
+    q = quartiles.agg(*[F.first(F.when(F.col("name") == c, F.col("q")), ignorenulls=True).alias(f"_q_{c}") for c in columns])
     low = lambda c: F.col(f"_q_{c}")[0] - reach * (F.col(f"_q_{c}")[1] - F.col(f"_q_{c}")[0])
     high = lambda c: F.col(f"_q_{c}")[1] + reach * (F.col(f"_q_{c}")[1] - F.col(f"_q_{c}")[0])
     x = lambda c: finite(F.col(c))

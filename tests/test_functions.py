@@ -249,6 +249,7 @@ PROFILES = {
     "median_differences": lambda df: profile.median_differences(df, F.col("id") % 2 == 0, ["x"]),
     "quantiles": lambda df: profile.quantiles(df, ["x"]),
     "medians": lambda df: profile.medians(df, ["x"]),
+    "iqr_outliers": lambda df: profile.iqr_outliers(df, ["x"]),
     "group_summary": lambda df: profile.group_summary(df, ["g"], ["x"]),
 }
 
