@@ -135,7 +135,7 @@ def median_differences(df: DataFrame, positive: Column, columns: Sequence[str])
 
 def trimmed(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows whose value lies between two quantiles, both included."""
-    q = df.agg(F.percentile(finite(F.col(column)), F.array(F.lit(low), F.lit(high))).alias("_q"))
+    q = ranks.quantiles(df, [column], (low, high)).select(F.col("q").alias("_q"))
     return df.crossJoin(F.broadcast(q)).where(F.col(column).between(F.col("_q")[0], F.col("_q")[1])).drop("_q")  # one row
 
 

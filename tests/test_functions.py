@@ -250,6 +250,7 @@ PROFILES = {
     "quantiles": lambda df: profile.quantiles(df, ["x"]),
     "medians": lambda df: profile.medians(df, ["x"]),
     "iqr_outliers": lambda df: profile.iqr_outliers(df, ["x"]),
+    "trimmed": lambda df: profile.trimmed(df, "x"),
     "group_summary": lambda df: profile.group_summary(df, ["g"], ["x"]),
 }
 
