@@ -272,3 +272,16 @@ def shuffled(spark, run):
 def test_no_task_reads_all_values_for_a_quantile(spark, name):
     df = spark.range(300_000).select("id", F.lit("g").alias("g"), (F.col("id") * 7919 % 1_000_003 / 7).alias("x"))
     assert shuffled(spark, lambda: PROFILES[name](df).write.format("noop").mode("overwrite").save()) < 2_000_000
+
+
+def test_no_task_trains_on_more_rows_than_a_part(spark, monkeypatch):
+    from netquarry.operators import models
+
+    df = spark.range(5000).select("id", (F.col("id") % 10).cast("double").alias("x"), (F.col("id") % 10 > 4).cast("int").alias("y")).coalesce(1)
+    seen, fit = [], models.GBTClassifier.fit
+    monkeypatch.setattr(models, "PART_ROWS", 1000, raising=False)
+    monkeypatch.setattr(models.GBTClassifier, "fit", lambda self, rows: seen.append(rows.groupBy(F.spark_partition_id()).count().collect()) or fit(self, rows))
+    model = models.trained(df, "boosted", ["x"], "y", 2, maxIter=1, maxDepth=2)
+    assert sum(r["count"] for r in seen[0]) == 5000 and max(r["count"] for r in seen[0]) <= 1001
+    assert models.predicted(df, model, ["x"]).where("predicted = y").count() == 5000
+    assert models.spread(df.limit(0)).count() == 0 and models.spread(df, 5000).rdd.getNumPartitions() == 1
